@@ -33,13 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder name of its own in the shared folder, which purge() deletes."""
+    _written.append(f"{shared_dir(spark)}/thermaline-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the frame as Parquet to the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/thermaline-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def purge(spark: SparkSession) -> None:
