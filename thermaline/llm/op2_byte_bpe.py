@@ -2,12 +2,13 @@
 
 A word here is a run ` ?[^white space]+` or a run of white space (without its last character where text follows); no
 match of the tokenizer's pattern crosses such a border, so the matches of a word don't depend on its neighbours. Stages:
-(1) documents are gathered into blocks of BLOCK_BYTES of text, the words of a block are listed once each with all their
-positions, and dealt to buckets by the word's hash, one packed row for each block and bucket; (2) a bucket has all
-occurrences of its words: each distinct word is encoded once and its ids join the positions; (3) the rows of a block come
-together again and the ids are put in order by position. A word that every document has is one entry of each block, so no
-bucket grows with the count of a frequent word faster than with the number of blocks. Decoding looks ids up in the table
-of token bytes (as long as the vocabulary, so it is sent to all executors).
+(1) documents are gathered into blocks of BLOCK_BYTES of text; the distinct words of a block get local numbers and are
+dealt to buckets by their hash, one packed row for each block and bucket; (2) a bucket has every block's entries of its
+words: each distinct word is encoded once and its ids go back to the blocks; (3) at its block they meet the positions,
+which are the block's local numbers in text order and went straight there, and the ids are put in order by position. A
+word that every document has is one entry of each block, whatever its count. Words and positions are two scans of the
+documents, so that the positions are shuffled once and not twice. Decoding looks ids up in the table of token bytes (as
+long as the vocabulary, so it is sent to all executors).
 
 Defined cases: a null text is empty and has no ids; rows keep their doc_id (null too), repeated rows give a row each; an
 empty table gives no rows; other columns are ignored. Input should be a table or another repeatable scan.
@@ -48,57 +49,67 @@ def encoding(path: str, pattern: str):
 _encodings: dict = {}
 
 
-def _block(key: int, docs: list, texts: list[str], n_buckets: int):
-    """The rows of a block: a packed one for each bucket, and in bucket -1 the documents and their numbers of words."""
-    import xxhash
-
+def _numbers(texts: list[str]) -> tuple[list[int], list[str], dict[str, int]]:
+    """Words of each text, all words in order, and the local numbers, by first appearance."""
     counts, flat = [], []
     for text in texts:
         words = WORD.findall(text)
         counts.append(len(words))
         flat += words
-    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    words = [w.encode("utf-8", "surrogatepass") for w in number]
+    return counts, flat, {w: i for i, w in enumerate(dict.fromkeys(flat))}
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of 32-bit numbers, the lowest byte of all first: they pack better so."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _unplanes(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _word_rows(docs: list, texts: list[str], n_buckets: int):
+    """A packed row for each bucket that the block has words of: the words and their local numbers."""
+    import xxhash
+
+    words = [w.encode("utf-8", "surrogatepass") for w in _numbers(texts)[2]]
     bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(n_buckets)
     by = np.argsort(bucket, kind="stable")
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
-    order = np.argsort(place[ids], kind="stable")
-    times = np.bincount(place[ids], minlength=len(by))
-    ends, borders = np.cumsum(times), np.searchsorted(bucket[by], np.arange(n_buckets + 1, dtype=np.uint64))
-    null = np.array([d is None for d in docs])
-    yield key, -1, pack(np.array([d or 0 for d in docs], "<i8"), null, np.array(counts, "<i8"))
+    borders = np.searchsorted(bucket[by], np.arange(n_buckets + 1, dtype=np.uint64)).tolist()
     for k in range(n_buckets):
-        a, b = int(borders[k]), int(borders[k + 1])
-        if a == b:
-            continue
-        own = [words[i] for i in by[a:b].tolist()]
-        at = order[ends[a] - times[a] : ends[b - 1]].astype(np.int64)
-        step = np.diff(at, prepend=0).astype("<i4")  # positions grow within a word, so most steps are small
-        yield key, k, pack(np.array(list(map(len, own)), "<u4"), b"".join(own), times[a:b].astype("<u4"), step.view(np.uint8).reshape(-1, 4).T)
+        own = by[borders[k] : borders[k + 1]]
+        if len(own):
+            found = [words[i] for i in own.tolist()]
+            yield k, pack(np.array(list(map(len, found)), "<u4"), b"".join(found), _planes(np.diff(own, prepend=0)))
 
 
-def _split(n_buckets: int):
-    def apply(batches):
-        from pyspark import TaskContext
+def _position_rows(docs: list, texts: list[str], _):
+    """One row: the documents, their numbers of words, and the local numbers of all words in order."""
+    counts, flat, number = _numbers(texts)
+    ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    yield -1, pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs]), np.array(counts, "<i8"), _planes(ids))
+
 
-        part, seq, docs, texts, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
+def _split(rows_of, n_buckets: int):
+    def apply(batches):
+        block, docs, texts, held = None, [], [], 0
 
-        def rows(block):
-            for key, k, data in block:
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
+        def rows():
+            for k, data in rows_of(docs, texts, n_buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
 
         for b in batches:
+            if block is None and b.num_rows:
+                block = b.column("part")[0].as_py() << 32
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 docs.append(doc)
                 texts.append(text.decode("utf-8", "replace"))
                 held += len(text)
                 if held >= BLOCK_BYTES:
-                    yield from rows(_block(part + seq, docs, texts, n_buckets))
-                    seq, docs, texts, held = seq + 1, [], [], 0
+                    yield from rows()
+                    block, docs, texts, held = block + 1, [], [], 0
         if docs:
-            yield from rows(_block(part + seq, docs, texts, n_buckets))
+            yield from rows()
 
     return apply
 
@@ -111,50 +122,42 @@ def _encode(path: str, pattern: str):
         known, now = {}, None
         for b in batches:
             for key, bucket, data in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "data")), strict=True):
-                if bucket >= 0:
-                    if bucket != now:
-                        known, now = {}, bucket
-                    sizes, blob, times, step = unpack(data)
-                    ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
-                    blob, start, ids = bytes(blob), 0, []
-                    for end in ends:
-                        word = blob[start:end]
-                        got = known.get(word)
-                        if got is None:
-                            got = known[word] = np.array(bpe.encode_ordinary(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
-                        ids.append(got)
-                        start = end
-                    data = pack(np.array(list(map(len, ids)), "<u4") // 4, b"".join(ids), bytes(times), bytes(step))
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([data], pa.binary()), pa.array([bucket < 0])], ["block", "data", "head"])
+                if bucket != now:
+                    known, now = {}, bucket
+                sizes, blob, steps = unpack(data)
+                ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+                blob, start, ids = bytes(blob), 0, []
+                for end in ends:
+                    word = blob[start:end]
+                    got = known.get(word)
+                    if got is None:
+                        got = known[word] = np.array(bpe.encode_ordinary(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
+                    ids.append(got)
+                    start = end
+                data = pack(np.array(list(map(len, ids)), "<u4") // 4, b"".join(ids), bytes(steps))
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
 
     return apply
 
 
-def _join(rows: list[tuple[bool, bytes]]) -> pa.RecordBatch:
+def _join(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     sizes, values, spots = [], [], []
-    for head, data in rows:
+    for bucket, data in rows:
         parts = unpack(data)
-        if head:
-            docs, null, counts = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], bool), np.frombuffer(parts[2], "<i8")
-            continue
-        times = np.frombuffer(parts[2], "<u4")
-        size = np.frombuffer(parts[0], "<u4").astype(np.int64)
-        first = np.cumsum(size) - size + sum(map(len, values))
-        values.append(np.frombuffer(parts[1], "<u4"))
-        step = np.ascontiguousarray(np.frombuffer(parts[3], np.uint8).reshape(4, -1).T).view("<i4").ravel()
-        spots.append(np.cumsum(step.astype(np.int64)))
-        sizes.append((np.repeat(size, times), np.repeat(first, times)))
-    ids = np.zeros(0, "<u4")
-    words = int(counts.sum())
-    length = np.zeros(words, np.int64)
-    if words:
-        at = np.concatenate(spots)
-        source = np.zeros(words, np.int64)
-        length[at] = np.concatenate([s for s, _ in sizes])
-        source[at] = np.concatenate([f for _, f in sizes])
-        ids = np.concatenate(values)[ranges(source, length)]
-    word_ends = np.append(0, np.cumsum(length))
-    ends = word_ends[np.cumsum(counts)]
+        if bucket < 0:
+            docs, null, counts, order = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], bool), np.frombuffer(parts[2], "<i8"), _unplanes(parts[3])
+        else:
+            sizes.append(np.frombuffer(parts[0], "<u4").astype(np.int64))
+            values.append(np.frombuffer(parts[1], "<u4"))
+            spots.append(np.cumsum(_unplanes(parts[2])))
+    ids = length = np.zeros(0, np.int64)
+    if len(order):
+        at, size = np.concatenate(spots), np.concatenate(sizes)
+        of, source = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        of[at], source[at] = size, np.cumsum(size) - size
+        length = of[order]
+        ids = np.concatenate(values)[ranges(source[order], length)]
+    ends = np.append(0, np.cumsum(length))[np.cumsum(counts)]
     starts = np.append(0, ends[:-1])
     data = ids.astype("<u4").tobytes()
     return pa.RecordBatch.from_arrays(
@@ -166,12 +169,12 @@ def _join(rows: list[tuple[bool, bytes]]) -> pa.RecordBatch:
 def _gather(batches):
     now, rows = None, []
     for b in batches:
-        for key, data, head in zip(*(b.column(c).to_pylist() for c in ("block", "data", "head")), strict=True):
+        for key, bucket, data in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "data")), strict=True):
             if key != now and rows:
                 yield _join(rows)
                 rows = []
             now = key
-            rows.append((head, data))
+            rows.append((bucket, data))
     if rows:
         yield _join(rows)
 
@@ -179,12 +182,14 @@ def _gather(batches):
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian, four bytes each). path: a file of ranks."""
     session(docs)
-    base = text_bytes(docs, id_col, text_col)
+    base = text_bytes(docs, id_col, text_col).withColumn("part", F.spark_partition_id())  # of the scan, alike in both
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-size // BUCKET_BYTES))
-    split = base.mapInArrow(_split(n_buckets), "block long, bucket int, data binary")
-    coded = split.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path, pattern), "block long, data binary, head boolean")
-    return coded.repartition("block").sortWithinPartitions("block").mapInArrow(_gather, "doc_id long, n_tokens long, ids binary")
+    schema = "block long, bucket int, data binary"
+    words = base.mapInArrow(_split(_word_rows, n_buckets), schema)
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path, pattern), schema)
+    both = coded.unionByName(base.mapInArrow(_split(_position_rows, n_buckets), schema))
+    return both.repartition("block").sortWithinPartitions("block").mapInArrow(_gather, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:

@@ -15,6 +15,7 @@ documents, in no fixed order among themselves; an empty table gives no blocks; o
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 
 import numpy as np
@@ -119,7 +120,9 @@ class Decoder:
 class Pieces(dict):
     """Text between ASCII white space -> its ids as bytes. The tokenizer drops white space and joins nothing across it."""
 
-    LIMIT = 300_000
+    LIMIT = 1_000_000
+    #: Marks that end a word: after an ASCII letter or digit they are a match of their own, so the word before them is looked up alone.
+    MARKS = b".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -127,12 +130,24 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def __missing__(self, piece: bytes) -> bytes:
-        got = np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self) >= self.LIMIT:
+    def stem(self, piece: bytes) -> int:
+        """Length of the word before closing marks; 0 where the piece is to be taken whole."""
+        n = len(piece.rstrip(self.MARKS))
+        return n if 0 < n < len(piece) and piece[n - 1 : n].isalnum() else 0
+
+    def learn(self, pieces: set[bytes]) -> None:
+        """Encodes the pieces that aren't known yet, in one call."""
+        new = pieces.difference(self)
+        if len(self) + len(new) > self.LIMIT:
             self.clear()
-        self[piece] = got
-        return got
+            new = pieces
+        cut = {p: n for p in new if (n := self.stem(p))}
+        whole = list((new - cut.keys()).union(p[:n] for p, n in cut.items()).union(p[n:] for p, n in cut.items()).difference(self))
+        for i in range(0, len(whole), 20_000):
+            part = whole[i : i + 20_000]
+            got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
+            self.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, got, strict=True))
+        self.update((p, self[p[:n]] + self[p[n:]]) for p, n in cut.items())
 
 
 _pieces: dict[str, Pieces] = {}
@@ -143,10 +158,13 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "do
     session(docs)
 
     def apply(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         pieces = _pieces.get(path) or _pieces.setdefault(path, Pieces(path))
         get, end = pieces.__getitem__, np.array([end_id], pieces.kind).tobytes()
         for b in batches:
-            ids = [b"".join([*map(get, t.split()), end]) for t in b.column("text").to_pylist()]
+            split = [t.split() for t in b.column("text").to_pylist()]
+            pieces.learn(set().union(*split))
+            ids = [b"".join([*map(get, t), end]) for t in split]
             width = len(end)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32())], ["doc_id", "ids", "n_tokens", "width"])
 
