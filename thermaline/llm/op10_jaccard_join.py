@@ -7,11 +7,12 @@ rare class are indexed singly. Tokens estimated to be in FREQUENT documents or m
 hash classes, for which the prefix is extended by one token a class; sets that could share too few tokens for pairs are
 equal sets. Classes grow with the size of a set, so that pairs stay in proportion to it.
 
-Equal sets are one node from the start. In an index bucket a pivot is tried against the others (a star, never all pairs)
-for STARS rounds with different pivots; then nodes of one bucket that are still in different components are compared. A
-candidate first has to pass on the prefixes alone: a prefix holds all of its set's tokens up to its last one, so what is
-missing on either side there is a lower bound of the difference. What passes is verified on the whole sets. Components
-come from components.py.
+Equal sets are one node from the start. Index buckets of up to SMALL nodes give their pairs, which first have to pass on
+the prefixes alone: a prefix holds all of its set's tokens up to its last one, so what is missing on either side there is a
+lower bound of the difference. What passes is verified on the whole sets. Larger buckets come from families of near copies
+and from passages that many texts share; nodes that such buckets tie together form a group, whose sets meet once in one
+task that joins them by an inverted index and returns a forest of links, never their pairs. Groups over MAX_GROUP nodes are
+not collected; their buckets go the way of the small ones. Components come from components.py.
 
 Defined cases: null or empty texts have no shingles and are linked with nothing; texts of fewer words than a shingle have
 one, the whole sequence; rows with a null doc_id are not linked and have a null component; rows with one doc_id are
@@ -25,18 +26,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX1, MIX2, WordHash, materialise, mix64, session, table, union
+from .common import LOWER, MIX1, MIX2, materialise, mix64, ranges, session, table, union
 from .components import components
 
 SHINGLE, PERCENT = 3, 90
 TOP_WORDS = 1 << 16
 FREQUENT = 8
-STARS = 3
+#: Nodes in a bucket whose pairs are listed, and nodes of a group that is collected (some 100 MB of tokens).
+SMALL = 16
+MAX_GROUP = 30_000
 BITMAP_BITS = 1 << 27
-_hash = WordHash()
 
 
 def _word_counts(batches):
@@ -63,7 +66,11 @@ class Shingler:
     """Sets of ordered tokens: the level in the high 15 bits, 48 bits of the shingle's hash below."""
 
     def __init__(self, levels: dict[bytes, int], words: int, shingle: int, percent: int):
-        self.levels, self.shingle, self.percent = levels, shingle, percent
+        self.number = {w: i for i, w in enumerate(levels)}
+        # The last entry of each stands for words that aren't listed.
+        self.level = np.array([*levels.values(), 0], np.int64)
+        self.hash = np.array([*map(xxhash.xxh3_64_intdigest, levels), 0], np.uint64)
+        self.shingle, self.percent = shingle, percent
         self.frequent = int(8 * ((shingle - 1) * math.log2(words) + math.log2(FREQUENT)))
 
     def tokens(self, text: bytes) -> np.ndarray:
@@ -71,8 +78,11 @@ class Shingler:
         words = text.translate(LOWER).split()
         if not words:
             return np.zeros((0, 2), np.uint64)
-        h, k = _hash.many(words), min(self.shingle, len(words))
-        level = np.fromiter([self.levels.get(w, 0) for w in words], np.int64, len(words))
+        get, k = self.number.get, min(self.shingle, len(words))
+        at = np.array([get(w, -1) for w in words])
+        h, level = self.hash[at], self.level[at]
+        new = np.flatnonzero(at < 0)
+        h[new] = np.fromiter(map(xxhash.xxh3_64_intdigest, map(words.__getitem__, new.tolist())), np.uint64, len(new))
         n = len(words) - k + 1
         full, rank = np.full(n, np.uint64(k)), np.zeros(n, np.int64)
         for i in range(k):
@@ -198,7 +208,30 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").mapInArrow(apply, "u binary, v binary")
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def group_links(tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A forest over the sets whose trees are the components of their links."""
+    order = np.argsort([len(t) for t in tokens], kind="stable")
+    sizes = np.array([len(tokens[i]) for i in order], np.int64)
+    flat = np.concatenate([tokens[i] for i in order])
+    _, flat, times = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    shared = times[flat] > 1
+    by = np.argsort(flat[shared], kind="stable")
+    posting, first = owner[shared][by], np.append(0, np.cumsum(np.bincount(flat[shared], minlength=len(times))))
+    ends = np.cumsum(sizes)
+    root, out = np.arange(len(sizes)), []
+    for x in range(1, len(sizes)):
+        own = flat[ends[x] - sizes[x] : ends[x]]
+        own = own[times[own] > 1]
+        both = np.bincount(posting[ranges(first[own], first[own + 1] - first[own])], minlength=len(sizes))[:x]
+        for y in np.flatnonzero((100 * both >= percent * (sizes[x] + sizes[:x] - both)) & (root[:x] != root[x])).tolist():
+            if root[y] != root[x]:
+                out.append((int(order[x]), int(order[y])))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
     spark = session(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -208,39 +241,34 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     prepared = materialise(_prepare(base, sent))
     linkable = prepared.where("doc_id IS NOT NULL AND n > 0")
     nodes = materialise(linkable.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("index").alias("index")))
-    entry = nodes.select("node", "n", F.explode("index").alias("sig")).withColumn("size", F.expr("count(*) OVER (PARTITION BY sig)"))
-    buckets = materialise(entry.where("size > 1").select("sig", "node", "n"))
-    about = nodes.select("node", "n", "prefix")
-    could = _could_link(percent)
-
-    def pruned(pairs: DataFrame) -> DataFrame:
-        a, b = about.alias("a"), about.alias("b")
-        return pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(could).select("u", "v")
-
-    stars = []
-    for k in range(STARS):
-        pivot = f"first_value(struct(node, n)) OVER (PARTITION BY sig ORDER BY xxhash64(node, {k}), node)"
-        near = buckets.withColumn("pivot", F.expr(pivot)).where(f"pivot.node <> node AND {100 - percent} * (n + pivot.n) >= {100 + percent} * abs(n - pivot.n)")
-        stars.append(near.select(F.least("node", "pivot.node").alias("u"), F.greatest("node", "pivot.node").alias("v")))
-    pairs = materialise(pruned(union(*stars).distinct()))
-    ends = lambda p: p.select(F.col("u").alias("node")).unionByName(p.select(F.col("v").alias("node"))).distinct()
-    sets = materialise(_sets(base, ends(pairs), sent))
-    links = materialise(_verify(pairs, sets, percent))
-    labels = components(links)
-
-    # What stars left apart: nodes of one bucket in different components, each pair of nodes once.
-    named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = named.withColumns({"lo": F.expr("min(label) OVER (PARTITION BY sig)"), "hi": F.expr("max(label) OVER (PARTITION BY sig)")}).where("lo <> hi").select("sig", "node", "n", "label")
-    open_ = materialise(open_.join(nodes.select("node", "prefix"), "node"))
-    a, b = open_.alias("a"), open_.alias("b")
-    rest = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & F.expr(could))
-    rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    rest = materialise(rest.join(pairs, ["u", "v"], "left_anti"))
-    missing = materialise(ends(rest).join(sets, "node", "left_anti"))
-    if not rest.isEmpty():
-        if not missing.isEmpty():
-            sets = sets.unionByName(materialise(_sets(base, missing, sent)))
-        labels = components(links.unionByName(_verify(rest, sets, percent)))
+    entry = nodes.select("node", "n", F.explode("index").alias("sig")).withColumns({"size": F.expr("count(*) OVER (PARTITION BY sig)")})
+    buckets = materialise(entry.where("size > 1").select("sig", "node", "size"))
+
+    # Large buckets: groups, each node in one.
+    large = buckets.where(f"size > {SMALL}")
+    ties = large.withColumn("first", F.expr("min(node) OVER (PARTITION BY sig)")).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    group = components(ties).select("node", F.col("label").alias("group"))
+    group = materialise(group.withColumn("members", F.expr("count(*) OVER (PARTITION BY group)")))
+    huge = group.where(f"members > {max_group}").select("node")
+    group = group.where(f"members <= {max_group}").select("node", "group")
+
+    # The other buckets: pairs, pruned on the prefixes.
+    listed = buckets.where(f"size <= {SMALL}").unionByName(large.join(huge, "node", "left_semi")).select("sig", "node")
+    a, b = listed.alias("a"), listed.alias("b")
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    a, b = (nodes.select("node", "n", "prefix").alias(x) for x in "ab")
+    pairs = materialise(pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(_could_link(percent)).select("u", "v"))
+
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(group.select("node")).distinct()
+    sets = materialise(_sets(base, materialise(wanted), sent))
+
+    def join_group(key, members):
+        node = members.column("node").to_pylist()
+        found = group_links([np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()], percent)
+        return pa.table({"u": pa.array([node[x] for x, _ in found], pa.binary()), "v": pa.array([node[y] for _, y in found], pa.binary())})
+
+    in_groups = group.join(sets, "node").groupBy("group").applyInArrow(join_group, "u binary, v binary")
+    labels = components(_verify(pairs, sets, percent).unionByName(in_groups))
 
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
