@@ -35,6 +35,6 @@ def verify(claimed: DataFrame, found: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with their line number; blank lines don't count."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where("trim(text) <> ''")
     return lines.select("line", "text", F.from_json("text", schema).alias("v")).select("line", "text", "v.*")
