@@ -43,23 +43,30 @@ BITMAP_BITS = 1 << 27
 
 
 def _word_counts(batches):
+    """Counts of words; the empty word, which no text has, counts them all."""
     count: Counter = Counter()
+
+    def rows():
+        count[b""] = sum(count.values())
+        got = pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+        count.clear()
+        return got
+
     for b in batches:
         for t in b.column("text").to_pylist():
             count.update(t.translate(LOWER).split())
-        if len(count) > 400_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-            count.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+        if len(count) > 1_000_000:
+            yield rows()
+    yield rows()
 
 
 def word_levels(base: DataFrame) -> tuple[dict[bytes, int], int]:
-    """Levels (8 times the binary logarithm of the count) of the most frequent words, and the level that is frequent."""
-    counts = materialise(base.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    words = counts.agg(F.sum("n")).first()[0] or 1
-    top = counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()
-    levels = {w: int(8 * math.log2(n)) for w, n in zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)}
-    return levels, words
+    """Levels (8 times the binary logarithm of the count) of the most frequent words, and the number of all words."""
+    counts = base.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS + 1).toArrow()
+    found = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
+    words = found.pop(b"", 0) or 1
+    return {w: int(8 * math.log2(n)) for w, n in found.items()}, words
 
 
 class Shingler:
@@ -141,7 +148,7 @@ def _prepare(base: DataFrame, sent) -> DataFrame:
                     rows.append((doc, 0, None, [], []))
                     continue
                 prefix, index = shingler.signatures(np.ascontiguousarray(tokens[:, 0]))
-                rows.append((doc, len(tokens), shingler.node(tokens), _long(prefix), _long(index)))
+                rows.append((doc, len(tokens), shingler.node(tokens), _long(prefix), None if index is prefix else _long(index)))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n", "node", "prefix", "index"])
 
@@ -241,8 +248,8 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     prepared = materialise(_prepare(base, sent))
     linkable = prepared.where("doc_id IS NOT NULL AND n > 0")
     nodes = materialise(linkable.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("index").alias("index")))
-    entry = nodes.select("node", "n", F.explode("index").alias("sig")).withColumns({"size": F.expr("count(*) OVER (PARTITION BY sig)")})
-    buckets = materialise(entry.where("size > 1").select("sig", "node", "size"))
+    entry = nodes.select("node", F.posexplode(F.coalesce("index", "prefix")).alias("pos", "sig")).withColumn("size", F.expr("count(*) OVER (PARTITION BY sig)"))
+    buckets = materialise(entry.where("size > 1"))
 
     # Large buckets: groups, each node in one.
     large = buckets.where(f"size > {SMALL}")
@@ -252,10 +259,20 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     huge = group.where(f"members > {max_group}").select("node")
     group = group.where(f"members <= {max_group}").select("node", "group")
 
-    # The other buckets: pairs, pruned on the prefixes.
-    listed = buckets.where(f"size <= {SMALL}").unionByName(large.join(huge, "node", "left_semi")).select("sig", "node")
+    # The other buckets: pairs, pruned on what the buckets tell, then on the prefixes.
+    listed = buckets.where(f"size <= {SMALL}").unionByName(large.join(huge, "node", "left_semi")).select("sig", "node", "pos")
+    apart = large.join(huge, "node", "left_anti").groupBy("node").agg(F.count("*").alias("apart"))
+    plain = nodes.select("node", "n", F.when(F.col("index").isNull(), F.size("prefix")).alias("p")).join(listed.select("node").distinct(), "node")
+    listed = listed.join(plain.join(apart, "node", "left").select("node", "n", "p", F.coalesce("apart", F.lit(0)).alias("apart")), "node")
     a, b = listed.alias("a"), listed.alias("b")
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    met = a.join(b, F.expr(f"a.sig = b.sig AND a.node < b.node AND {100 - percent} * (a.n + b.n) >= {100 + percent} * abs(a.n - b.n)"))
+    facts = [F.max(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("pos", "n", "p", "apart")]
+    met = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("c"), *facts)
+    # Shared prefix tokens are c and at most those in buckets apart. All tokens up to the last shared one, and all of the
+    # prefix that ends first, are known on both sides; p is null where sets are indexed by pairs.
+    shared = "(c + least(apart_a, apart_b))"
+    lacks = f"least(p_a + pos_b, p_b + pos_a) + 1 - 2 * {shared}"
+    pairs = met.where(f"p_a IS NULL OR p_b IS NULL OR {100 - percent} * (n_a + n_b) >= {100 + percent} * ({lacks})").select("u", "v")
     a, b = (nodes.select("node", "n", "prefix").alias(x) for x in "ab")
     pairs = materialise(pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(_could_link(percent)).select("u", "v"))
 
