@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def some(ids: DataFrame) -> np.ndarray:
         ids = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample)
         got = base.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_measured, "x array<double>").toArrow()["x"].to_pylist()
-        return np.array(sorted(got)).reshape(len(got), -1)
+        return np.array(sorted(got)) if got else np.zeros((0, 0))
 
     del spark
     return Model(some(train.where("quality = 1")), some(docs.where(fold() != HELD_OUT)), prior)
