@@ -4,10 +4,11 @@ import os
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thermaline.operators import ledger, rows
+from thermaline.operators import blend, ledger, rows
 from thermaline.plans import queries
 from thermaline.sources import store
 from thermaline.streaming import hourly
@@ -91,3 +92,28 @@ def test_query_against_sql(spark, name):
     assert sorted(names) == cols
     want = sorted(tuple(_plain(x[names.index(c)]) for c in cols) for x in r.fetchall())
     assert sorted(tuple(_plain(x[c]) for c in cols) for x in df.collect()) == want
+
+
+def test_blend_gate_against_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(z, float(t), 0.0, float(m) if i % 5 else None, float(s) if i % 7 else None, 0.4) for z, n in (("a", 200), ("b", 20), ("c", 120)) for i, (t, m, s) in enumerate(zip(rng.normal(0.1, 1, n), rng.normal(0, 0.3, n), rng.normal(0, 0.3, n)))]
+    rows += [("d", 1.0, 0.0, 0.5, 0.75, 0.4)] * 40 + [("", 1.0, 0.0, 1.0, 1.0, 0.4), (None, 1.0, 0.0, 1.0, 1.0, 0.4)]
+    frame = spark.createDataFrame(rows, "zone string, truth double, grid double, delta_model double, delta_station double, lam double")
+    frame = frame.selectExpr("*", "coalesce((1 - lam) * delta_model + lam * delta_station, delta_station, delta_model) AS delta_blend")
+    got = {r.zone: r for r in blend.blend_gate(frame).collect()}
+    assert set(got) == set("abcd")
+    for z in "ac":
+        own = [(t, m, s) for zone, t, _, m, s, _ in rows if zone == z and m is not None and s is not None]
+        t, m, s = np.array(own).T
+        d = (t - m) ** 2 - (t - (0.6 * m + 0.4 * s)) ** 2
+        assert got[z].blend_beats_model == (d.mean() > d.std(ddof=1) / np.sqrt(len(d))) and got[z].n_both == len(d)
+    assert got["b"].blend_beats_model is None and got["b"].passes is False
+    # Without spread a gain over zero is enough, but a bias without a standard error isn't judged.
+    assert got["d"].blend_beats_model and got["d"].station_beats_grid and got["d"].bias_bounded is None and not got["d"].passes
+
+
+def test_promotions(spark):
+    c = spark.createDataFrame([("a", "x", 1, "win", 2), ("b", "x", 1, "win", 1), ("c", "x", 1, "loss", 3), ("d", "x", 1, "win", 2), ("e", "x", 2, "win", 5), ("f", "x", 1, "win", 2)], "cell string, author string, submission int, result string, streak int")
+    h = spark.createDataFrame([("d", "y", 9), ("e", "x", 1), ("f", "x", 1)], "cell string, author string, submission int")
+    got = {tuple(r) for r in ledger.promotions(c, h).collect()}
+    assert got == {("a", "tenure_start", "x", 1), ("d", "tenure_end", "y", 9), ("d", "tenure_start", "x", 1), ("e", "tenure_start", "x", 2)}

@@ -32,6 +32,19 @@ def holder(events: DataFrame) -> DataFrame:
     return last.select("cell", F.when(F.col("e.event") == "tenure_start", F.col("e.author")).alias("holder"))
 
 
+def promotions(candidates: DataFrame, holders: DataFrame, streak: int = 2) -> DataFrame:
+    """candidates: cell, author, submission, result, streak; holders: cell, author, submission, one a cell. Lines to append.
+
+    A win that makes the streak ends the tenure of another author and starts one, unless the submission holds the cell.
+    """
+    held = holders.select("cell", F.col("author").alias("_author"), F.col("submission").alias("_submission"))
+    got = candidates.where((F.col("result") == "win") & (F.col("streak") >= streak)).join(held, "cell", "left")
+    line = lambda event, author, submission: F.struct(F.lit(event).alias("event"), F.col(author).alias("author"), F.col(submission).alias("submission"))
+    end = F.when(F.col("_author") != F.col("author"), line("tenure_end", "_author", "_submission"))
+    start = F.when(~F.col("_submission").eqNullSafe(F.col("submission")), line("tenure_start", "author", "submission"))
+    return got.select("cell", F.inline(F.array_compact(F.array(end, start))))
+
+
 def leaderboard(events: DataFrame) -> DataFrame:
     """Starts by author; rank by count, then by first appearance."""
     got = events.where("event = 'tenure_start'").groupBy("author").agg(F.count("*").alias("n"), F.min("line").alias("first"))

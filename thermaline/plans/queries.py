@@ -272,14 +272,30 @@ def neighbour_deltas(spark, d):
     return _round(blend.station_deltas(blend.neighbours(_near(spark, d), 2000.0), 800.0), 5)
 
 
-@_query(f"""WITH {_NEAR}, b AS (SELECT r.id, r.zone, r.anomaly AS e, CASE WHEN r.id % 3 <> 0 THEN r.anomaly * 0.5 END AS dm, sd.delta_station AS ds, CASE WHEN n_near > 0 THEN 1 - exp(-wsum / 2.0) ELSE 0 END AS lam FROM r LEFT JOIN sd USING (id, day)),
-f AS (SELECT *, coalesce((1 - lam) * dm + lam * ds, ds, dm) AS db FROM b)
-SELECT zone, count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse_grid, round(sqrt(avg((e - dm) ** 2)), 6) AS rmse_model, round(sqrt(avg((e - db) ** 2)), 6) AS rmse_blend, count(db) AS n_blend FROM f WHERE zone <> '' GROUP BY zone""")
-def blend_scores(spark, d):
+_MIX = f"""{_NEAR}, b AS (SELECT r.id, r.zone, r.anomaly AS e, CASE WHEN r.id % 3 <> 0 THEN r.anomaly * 0.5 END AS dm, sd.delta_station AS ds, CASE WHEN n_near > 0 THEN 1 - exp(-wsum / 2.0) ELSE 0 END AS lam FROM r LEFT JOIN sd USING (id, day)),
+f AS (SELECT *, coalesce((1 - lam) * dm + lam * ds, ds, dm) AS db FROM b)"""
+
+
+def _mix(spark, d):
     r = _near(spark, d)
     deltas = blend.station_deltas(blend.neighbours(r, 2000.0), 800.0)
-    b = r.selectExpr("id", "day", "zone", "anomaly AS truth", "0D AS grid", "IF(id % 3 <> 0, anomaly * 0.5, NULL) AS delta_model")
-    return _round(blend.blend_scores(blend.blend(b, deltas, 2.0)))
+    return blend.blend(r.selectExpr("id", "day", "zone", "anomaly AS truth", "0D AS grid", "IF(id % 3 <> 0, anomaly * 0.5, NULL) AS delta_model"), deltas, 2.0)
+
+
+@_query(f"""WITH {_MIX}
+SELECT zone, count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse_grid, round(sqrt(avg((e - dm) ** 2)), 6) AS rmse_model, round(sqrt(avg((e - db) ** 2)), 6) AS rmse_blend, count(db) AS n_blend FROM f WHERE zone <> '' GROUP BY zone""")
+def blend_scores(spark, d):
+    return _round(blend.blend_scores(_mix(spark, d)))
+
+
+@_query(f"""WITH {_MIX}, g AS (SELECT *, CASE WHEN dm IS NOT NULL AND ds IS NOT NULL THEN (e - dm) ** 2 - (e - db) ** 2 END AS gm, e * e - (e - ds) ** 2 AS gs FROM f WHERE zone <> ''),
+s AS (SELECT zone, count(*) AS n, count(dm) AS n_model, count(ds) AS n_station, count(db) AS n_blend, count(gm) AS n_both, sqrt(avg(e * e)) AS rmse_grid, sqrt(avg((e - dm) ** 2)) AS rmse_model, sqrt(avg((e - ds) ** 2)) AS rmse_station, sqrt(avg((e - db) ** 2)) AS rmse_blend,
+  avg(e - db) AS bias_blend, stddev_samp(e - db) / sqrt(count(db)) AS se_bias_blend, avg(gm) AS agm, stddev_samp(gm) / sqrt(count(gm)) AS sgm, avg(gs) AS ags, stddev_samp(gs) / sqrt(count(gs)) AS sgs FROM g GROUP BY zone),
+t AS (SELECT *, CASE WHEN n_both >= 30 THEN agm > sgm END AS blend_beats_model, CASE WHEN n_station >= 30 THEN ags > sgs END AS station_beats_grid, CASE WHEN se_bias_blend <> 0 THEN abs(bias_blend) <= greatest(3 * se_bias_blend, 0.25) END AS bias_bounded FROM s)
+SELECT zone, n, n_model, n_station, n_blend, n_both, round(rmse_grid, 6) AS rmse_grid, round(rmse_model, 6) AS rmse_model, round(rmse_station, 6) AS rmse_station, round(rmse_blend, 6) AS rmse_blend, round(bias_blend, 6) AS bias_blend, round(se_bias_blend, 6) AS se_bias_blend,
+  blend_beats_model, station_beats_grid, bias_bounded, coalesce(n_both >= 30 AND blend_beats_model AND bias_bounded AND station_beats_grid, false) AS passes FROM t""")
+def blend_gate(spark, d):
+    return _round(blend.blend_gate(_mix(spark, d)))
 
 
 @_query("""WITH s AS (SELECT o_orderpriority AS grp, c_mktsegment AS combo, c_nationkey, stddev_pop(o_totalprice) AS rmse, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), p AS (SELECT grp, combo, round(sqrt(sum(rmse * rmse * n) / sum(n)), 9) AS pooled FROM s GROUP BY ALL)
@@ -319,6 +335,15 @@ def tenure_holder(spark, d):
     return ledger.holder(_log(spark, d))
 
 
+@_query(f"""WITH {_LOG}, c AS (SELECT cell, max_by(struct_pack(author, submission, result, k := line % 4), line) AS c FROM l GROUP BY cell), h AS (SELECT cell, max_by(struct_pack(author, submission), line) AS h FROM l WHERE event = 'tenure_start' GROUP BY cell),
+j AS (SELECT c.cell AS cell, c, h FROM c LEFT JOIN h ON c.cell = h.cell WHERE c.c.result = 'win' AND c.c.k >= 2)
+SELECT cell, 'tenure_end' AS event, h.author AS author, h.submission AS submission FROM j WHERE h.author <> c.author UNION ALL SELECT cell, 'tenure_start', c.author, c.submission FROM j WHERE h IS NULL OR h.submission <> c.submission""")
+def promotions(spark, d):
+    last = F.max_by(F.struct("author", "submission", "result", (F.col("line") % 4).alias("streak")), "line").alias("c")
+    log = _log(spark, d)
+    return ledger.promotions(log.groupBy("cell").agg(last).select("cell", "c.*"), log.where("event = 'tenure_start'").groupBy("cell").agg(last).select("cell", "c.*"))
+
+
 @_query(f"WITH {_LOG} SELECT author, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(line)) AS rank FROM l WHERE event = 'tenure_start' GROUP BY author")
 def leaderboard(spark, d):
     return ledger.leaderboard(_log(spark, d))
