@@ -120,7 +120,7 @@ class Decoder:
 class Pieces(dict):
     """Text between ASCII white space -> its ids as bytes. The tokenizer drops white space and joins nothing across it."""
 
-    LIMIT = 1_000_000
+    LIMIT = 600_000
     #: Marks that end a word: after an ASCII letter or digit they are a match of their own, so the word before them is looked up alone.
     MARKS = b".,;:!?"
 
@@ -128,38 +128,66 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Which ids end a match; none without a suffix for it, so that words() sends each word alone.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def stem(self, piece: bytes) -> int:
         """Length of the word before closing marks; 0 where the piece is to be taken whole."""
         n = len(piece.rstrip(self.MARKS))
         return n if 0 < n < len(piece) and piece[n - 1 : n].isalnum() else 0
 
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, which has letters only: one match, whose last id and no other ends a match. So all are encoded
+        as one text and cut there. Where normalising splits a word, the ends outnumber the words and each goes alone."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+        if len(ends) != len(words):
+            return self.alone(words)
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def alone(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in words], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in got]
+
     def learn(self, pieces: set[bytes]) -> None:
-        """Encodes the pieces that aren't known yet, in one call."""
+        """Encodes the pieces that aren't known yet."""
         new = pieces.difference(self)
         if len(self) + len(new) > self.LIMIT:
             self.clear()
             new = pieces
-        cut = {p: n for p in new if (n := self.stem(p))}
-        whole = list((new - cut.keys()).union(p[:n] for p, n in cut.items()).union(p[n:] for p, n in cut.items()).difference(self))
-        for i in range(0, len(whole), 20_000):
-            part = whole[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            self.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, got, strict=True))
+        # ASCII capitals are lower-cased by the tokenizer; texts with other characters could compose differently.
+        folded = {p: p.lower() if p.isascii() else p for p in new}
+        cut = {p: n for p in folded.values() if (n := self.stem(p))}
+        whole = set(folded.values()).difference(cut).union(p[:n] for p, n in cut.items()).union(p[n:] for p, n in cut.items()).difference(self)
+        letters = [p for p in whole if p.decode("utf-8", "replace").isalpha() and b"\xef\xbf\xbd" not in p]
+        for words, encode in ((letters, self.words), (list(whole.difference(letters)), self.alone)):
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                self.update(zip(part, encode(part), strict=True))
         self.update((p, self[p[:n]] + self[p[n:]]) for p, n in cut.items())
+        self.update((p, self[low]) for p, low in folded.items() if p != low)
 
 
 _pieces: dict[str, Pieces] = {}
 
 
+def pieces_of(path: str) -> Pieces:
+    """The worker's own cache, which outlasts a task: this function is sent by name, while what a closure names is copied."""
+    return _pieces.get(path) or _pieces.setdefault(path, Pieces(path))
+
+
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian, two bytes, or four for more than 65,536 ids; with the end id), n_tokens."""
     session(docs)
 
     def apply(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        pieces = _pieces.get(path) or _pieces.setdefault(path, Pieces(path))
+        pieces = pieces_of(path)
         get, end = pieces.__getitem__, np.array([end_id], pieces.kind).tobytes()
         for b in batches:
             split = [t.split() for t in b.column("text").to_pylist()]
