@@ -49,6 +49,11 @@ def encoding(path: str, pattern: str):
 _encodings: dict = {}
 
 
+def kept_encoding(path: str, pattern: str):
+    """The worker's own, which outlasts a task: this function is sent by name, while what a closure names is copied."""
+    return _encodings.get((path, pattern)) or _encodings.setdefault((path, pattern), encoding(path, pattern))
+
+
 def _numbers(texts: list[str]) -> tuple[list[int], list[str], dict[str, int]]:
     """Words of each text, all words in order, and the local numbers, by first appearance."""
     counts, flat = [], []
@@ -118,7 +123,7 @@ def _encode(path: str, pattern: str):
     """Words become ids. Rows come sorted by bucket, so the ids of a bucket's words are kept until the next bucket."""
 
     def apply(batches):
-        bpe = _encodings.get(path) or _encodings.setdefault(path, encoding(path, pattern))
+        bpe = kept_encoding(path, pattern)
         known, now = {}, None
         for b in batches:
             for key, bucket, data in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "data")), strict=True):
