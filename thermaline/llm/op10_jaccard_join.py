@@ -155,39 +155,36 @@ def _prepare(base: DataFrame, sent) -> DataFrame:
     return base.mapInArrow(apply, "doc_id long, n long, node binary, prefix array<long>, index array<long>")
 
 
-def _slot(node: bytes) -> int:
-    return int.from_bytes(node[:8], "little") & (BITMAP_BITS - 1)
+def _slots(docs: pa.Array) -> np.ndarray:
+    return (mix64(docs.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
 
 
 def _bits(batches):
     for b in batches:
-        slots = np.array([_slot(x) for x in b.column("node").to_pylist()], np.int64)
+        slots = _slots(b.column("first"))
         yield pa.RecordBatch.from_arrays([pa.array(slots >> 6), pa.array(np.left_shift(1, slots & 63))], ["w", "b"])
 
 
 def _sets(base: DataFrame, wanted: DataFrame, sent) -> DataFrame:
-    """node, tokens of the wanted nodes. A bitmap of fixed size spares the others; what it lets through is joined away."""
+    """node, tokens of the wanted nodes, from the document that each is named after (first). A bitmap of fixed size over
+    doc_ids spares the other documents; what it lets through is joined away."""
     bits = wanted.mapInArrow(_bits, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
     bitmap[bits["w"].to_numpy()] = bits["b"].to_numpy()
     known = base.sparkSession.sparkContext.broadcast(bitmap)
 
     def apply(batches):
-        shingler, bitmap, seen = sent.value, known.value, set()
+        shingler, bitmap = sent.value, known.value
         for b in batches:
+            slots = _slots(b.column("doc_id"))
             rows = []
-            for text in b.column("text").to_pylist():
+            for text in b.column("text").filter(pa.array((bitmap[slots >> 6] >> (slots & 63)) & 1 == 1)).to_pylist():
                 tokens = shingler.tokens(text)
-                if not len(tokens):
-                    continue
-                node = shingler.node(tokens)
-                slot = _slot(node)
-                if (int(bitmap[slot >> 6]) >> (slot & 63)) & 1 and node not in seen:
-                    seen.add(node)
-                    rows.append((node, np.sort(tokens[:, 1]).tobytes()))
+                if len(tokens):
+                    rows.append((shingler.node(tokens), np.sort(tokens[:, 1]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], ["node", "tokens"])
 
-    found = base.select("text").mapInArrow(apply, "node binary, tokens binary")
+    found = base.mapInArrow(apply, "node binary, tokens binary")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -276,7 +273,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     a, b = (nodes.select("node", "n", "prefix").alias(x) for x in "ab")
     pairs = materialise(pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(_could_link(percent)).select("u", "v"))
 
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(group.select("node")).distinct()
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(group.select("node")).distinct().join(nodes.select("node", "first"), "node")
     sets = materialise(_sets(base, materialise(wanted), sent))
 
     def join_group(key, members):
