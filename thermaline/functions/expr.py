@@ -77,3 +77,14 @@ def dms_degrees(text: Column) -> Column:
 def local_day(ts: Column, zone: Column, hours: int = 6) -> Column:
     """The local day that starts at `hours` o'clock."""
     return F.to_date(F.from_utc_timestamp(ts, zone) - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def group_ordinal(group: Column) -> Column:
+    """0 to 4 for the group letters A to E, NULL for others."""
+    return F.nullif(F.instr(F.lit("ABCDE"), F.substring(group, 1, 1)) - 1, F.lit(-1))
+
+
+def split_id(text: Column) -> tuple[Column, Column]:
+    """Month and sequence of an id YYYY-MM-NNN; NULL for other texts."""
+    form = r"^(\d{4}-\d{2})-(\d{3})$"
+    return F.when(text.rlike(form), F.regexp_extract(text, form, 1)), F.when(text.rlike(form), F.regexp_extract(text, form, 2).cast("int"))

@@ -80,3 +80,37 @@ def date_chunks(span: DataFrame, days: int) -> DataFrame:
     """span: first, last. Contiguous pieces of `days` days at most."""
     start = F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {days} DAYS")))
     return span.select("last", start.alias("start")).select("start", F.least(F.date_add("start", days - 1), F.col("last")).alias("end"))
+
+
+def regions(rows: DataFrame, prefixes: list[str], exclude: bool = False) -> DataFrame:
+    """Rows whose station_id starts with one of the prefixes, or with none of them; null ids are in neither."""
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | F.col("station_id").startswith(p)
+    return rows.where(~found if exclude else found)
+
+
+def bounds(stations: DataFrame, pad: float) -> DataFrame:
+    """The padded bounding box and the mean position; one row, of nulls for an empty table."""
+    return stations.agg(*[(f(c) + s * pad).alias(n) for f, c, s, n in ((F.min, "lat", -1, "south"), (F.max, "lat", 1, "north"), (F.min, "lon", -1, "west"), (F.max, "lon", 1, "east"))], F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+
+
+def column_moments(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Mean and population deviation of each column, as mean_c and std_c."""
+    return rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+
+
+def first_outside(stations: DataFrame, held_out: DataFrame) -> DataFrame:
+    """The first station_id that isn't held out."""
+    return stations.join(held_out, "station_id", "left_anti").agg(F.min("station_id").alias("station_id"))
+
+
+def common_days(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct days of both."""
+    return a.select("day").intersect(b.select("day"))
+
+
+def density(stations: DataFrame, attributes: DataFrame) -> DataFrame:
+    """stations with the density of their attributes (name, population, area_km2); NULL without an area or a match."""
+    area = F.nullif(F.col("area_km2"), F.lit(0.0))
+    return stations.join(attributes.select("name", F.try_divide("population", area).alias("density")), "name", "left")

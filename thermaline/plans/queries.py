@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import blend, gates, ledger, rows, score
+from ..operators import blend, gates, ledger, quantiles, rows, score
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -400,3 +400,81 @@ SELECT id, CASE WHEN abs(lat) < 23.5 THEN 'tropical' WHEN abs(lat) < 35 THEN 'ar
 def scalar_functions(spark, d):
     s = _t(spark, d, "customer").selectExpr("c_custkey AS id", "(c_custkey * 37 % 1800) / 10D - 90 AS lat", "nullif(c_acctbal / 2000, 0) AS ci", "c_custkey % 7 = 0 AS ood", "CASE c_custkey % 4 WHEN 0 THEN 'Bsh' WHEN 1 THEN 'polar' WHEN 2 THEN 'xx' END AS zone", "IF(c_custkey % 2 = 0, '-', '+') || (c_custkey % 90) || ':30:36' AS dms")
     return s.select("id", expr.latitude_band(F.col("lat")).alias("band"), expr.confidence(F.col("ci"), F.col("ood")).alias("confidence"), expr.zone_group(F.col("zone")).alias("grp"), F.round(expr.dms_degrees(F.col("dms")), 6).alias("degrees"))
+
+
+# Quantiles: an order is a row, its priority the zone.
+def _quantiles(spark, d):
+    return _t(spark, d, "orders").selectExpr("o_orderkey AS id", "o_orderpriority AS zone", "o_orderkey % 7 - 3 AS lo", "o_orderkey % 5 - 1 AS mid", "nullif(o_custkey % 6, 0) AS hi")
+
+
+_QUANTILES = "q AS (SELECT o_orderkey AS id, o_orderpriority AS zone, o_orderkey % 7 - 3 AS lo, o_orderkey % 5 - 1 AS mid, nullif(o_custkey % 6, 0) AS hi FROM orders)"
+
+
+@_query(f"WITH {_QUANTILES}, s AS (SELECT id, zone, list_sort([lo, mid, hi], 'ASC', 'NULLS LAST') AS v FROM q) SELECT id, zone, v[1] AS lo, v[2] AS mid, v[3] AS hi FROM s")
+def monotone_quantiles(spark, d):
+    return quantiles.monotone(_quantiles(spark, d))
+
+
+@_query(f"WITH {_QUANTILES} SELECT zone, count(*) AS n, round(avg(CASE WHEN lo > mid OR mid > hi THEN 1.0::DOUBLE ELSE 0 END), 6) AS crossing_rate FROM q WHERE hi IS NOT NULL GROUP BY zone")
+def crossing_rate(spark, d):
+    return _round(quantiles.crossing_rate(_quantiles(spark, d)))
+
+
+@_query("SELECT l_orderkey AS fold FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) = 3")
+def complete_fits(spark, d):
+    return quantiles.complete_fits(_t(spark, d, "lineitem").selectExpr("l_orderkey AS fold", "l_linenumber AS quantile"))
+
+
+@_query("""WITH w AS (SELECT c_custkey AS id, [(c_custkey % 4)::DOUBLE, (c_custkey % 3)::DOUBLE, (c_custkey % 2)::DOUBLE] AS v FROM customer), t AS (SELECT *, list_sum(v) AS s FROM w)
+SELECT id, round(CASE WHEN s > 0 THEN v[1] / s ELSE 1.0::DOUBLE / 3 END, 6) AS first, round(CASE WHEN s > 0 THEN v[2] / s ELSE 1.0::DOUBLE / 3 END, 6) AS second, round(CASE WHEN s > 0 THEN v[3] / s ELSE 1.0::DOUBLE / 3 END, 6) AS third FROM t""")
+def importance_weights(spark, d):
+    w = F.array(*[(F.col("c_custkey") % k).cast("double") for k in (4, 3, 2)])
+    got = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), quantiles.importance_weights(w).alias("v"))
+    return _round(got.selectExpr("id", "v[0] AS first", "v[1] AS second", "v[2] AS third"))
+
+
+@_query("""WITH v AS (SELECT c_nationkey AS zone, c_mktsegment AS variant, round(avg(c_acctbal), 4) AS rmse, count(*) % 3 <> 0 AS passes FROM customer GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY rmse, variant) AS k FROM v WHERE passes)
+SELECT z.zone, r.variant, r.rmse FROM (SELECT DISTINCT zone FROM v) z LEFT JOIN r ON z.zone = r.zone AND r.k = 1""")
+def best_variant(spark, d):
+    v = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("variant")).agg(F.round(F.avg("c_acctbal"), 4).alias("rmse"), (F.count("*") % 3 != 0).alias("passes"))
+    return quantiles.best_variant(v)
+
+
+@_query("SELECT c_name AS station_id FROM customer WHERE NOT (starts_with(c_name, 'Customer#00000001') OR starts_with(c_name, 'Customer#00000002'))")
+def region_excluded(spark, d):
+    return rows.regions(_t(spark, d, "customer").selectExpr("c_name AS station_id"), ["Customer#00000001", "Customer#00000002"], exclude=True)
+
+
+@_query("""WITH s AS (SELECT (c_custkey * 37 % 1800) / 10.0::DOUBLE - 90 AS lat, (c_custkey * 53 % 3600) / 10.0::DOUBLE - 180 AS lon FROM customer)
+SELECT round(min(lat) - 0.25, 6) AS south, round(max(lat) + 0.25, 6) AS north, round(min(lon) - 0.25, 6) AS west, round(max(lon) + 0.25, 6) AS east, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM s""")
+def bounding_box(spark, d):
+    return _round(rows.bounds(_t(spark, d, "customer").selectExpr("(c_custkey * 37 % 1800) / 10D - 90 AS lat", "(c_custkey * 53 % 3600) / 10D - 180 AS lon"), 0.25))
+
+
+@_query("SELECT round(avg(l_quantity), 4) AS mean_l_quantity, round(stddev_pop(l_quantity), 4) AS std_l_quantity, round(avg(l_discount), 4) AS mean_l_discount, round(stddev_pop(l_discount), 4) AS std_l_discount FROM lineitem")
+def column_moments(spark, d):
+    return _round(rows.column_moments(_t(spark, d, "lineitem"), ["l_quantity", "l_discount"]), 4)
+
+
+@_query("SELECT min(c_custkey) AS station_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def first_outside(spark, d):
+    return rows.first_outside(_t(spark, d, "customer").selectExpr("c_custkey AS station_id"), _t(spark, d, "orders").selectExpr("o_custkey AS station_id"))
+
+
+@_query("SELECT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_returnflag = 'R'")
+def common_days(spark, d):
+    return rows.common_days(_t(spark, d, "orders").where("o_orderstatus = 'O'").selectExpr("to_date(o_orderdate) AS day"), _t(spark, d, "lineitem").where("l_returnflag = 'R'").selectExpr("to_date(l_shipdate) AS day"))
+
+
+@_query("SELECT s_suppkey AS station_id, round(CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey * 10.0::DOUBLE / (n_nationkey % 4) END, 6) AS density FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
+def density(spark, d):
+    attributes = _t(spark, d, "nation").selectExpr("n_nationkey AS name", "n_nationkey * 10D AS population", "CAST(n_nationkey % 4 AS DOUBLE) AS area_km2")
+    return _round(rows.density(_t(spark, d, "supplier").selectExpr("s_suppkey AS station_id", "s_nationkey AS name"), attributes).select("station_id", "density"))
+
+
+@_query("""WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'draft' ELSE '2026-0' || (c_custkey % 9 + 1) || '-' || right('00' || (c_custkey % 1000), 3) END AS text, substr('ABCDEX', CAST(c_custkey % 6 + 1 AS INT), 1) AS grp FROM customer)
+SELECT id, CASE WHEN text <> 'draft' THEN text[1:7] END AS month, CASE WHEN text <> 'draft' THEN CAST(text[9:11] AS INT) END AS sequence, CASE WHEN grp <> 'X' THEN CAST(id % 6 AS INT) END AS ordinal FROM s""")
+def id_functions(spark, d):
+    s = _t(spark, d, "customer").selectExpr("c_custkey AS id", "IF(c_custkey % 3 = 0, 'draft', '2026-0' || (c_custkey % 9 + 1) || '-' || right('00' || (c_custkey % 1000), 3)) AS text", "substr('ABCDEX', CAST(c_custkey % 6 + 1 AS INT), 1) AS grp")
+    month, sequence = expr.split_id(F.col("text"))
+    return s.select("id", month.alias("month"), sequence.alias("sequence"), expr.group_ordinal(F.col("grp")).alias("ordinal"))
