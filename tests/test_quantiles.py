@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from thermaline.functions import expr
-from thermaline.operators import quantiles, rows
+from thermaline.operators import gates, quantiles, rows
 
 
 def test_quantiles_are_ordered_and_crossings_counted(spark):
@@ -27,3 +27,9 @@ def test_density_and_ids(spark):
     month, sequence = expr.split_id(F.col("name"))
     t = spark.createDataFrame([("2026-07-001", "B"), ("2026-7-1", "x")], "name string, g string")
     assert [tuple(r) for r in t.select(month, sequence, expr.group_ordinal(F.col("g"))).collect()] == [("2026-07", 1, 1), (None, None, None)]
+
+
+def test_cell_status(spark):
+    cells = [("tmin", "a", True, None), ("tmin", "b", False, True), ("tmin", "c", False, False), ("tmin", "d", False, None), ("tmin", "e", True, True)]
+    df = spark.createDataFrame([(t, z, few, beats, 1, 1.0, 1.0, None, None) for t, z, few, beats in cells], "target string, zone string, too_few boolean, beats_with_margin boolean, n_grid long, rmse_grid_c double, rmse_model_c double, rmse_debiased_cv_c double, bias_correction_c double")
+    assert [r.status for r in gates.cell_status(df).orderBy("zone").collect()] == ["insufficient_n", "win", "loss", "loss", "insufficient_n"]

@@ -46,3 +46,10 @@ def regate(rows: DataFrame, predictions: DataFrame, gate: DataFrame) -> DataFram
     delta = F.when(F.col("scale").isNotNull(), F.col("scale") * F.col("p.delta_c") + F.col("offset")).otherwise(F.col("p.delta_c") + F.coalesce("bias_correction", F.lit(0.0)))
     reason = F.when(F.col("p").isNull(), "no_prediction").when(~frozen, "not_applied").when(~open_, "gate_closed").otherwise("applied")
     return got.select(*rows.columns, on.alias("applied"), F.when(on, delta).alias("delta_c"), reason.alias("reason"), F.coalesce("p.covariates_missing", F.array().cast("array<string>")).alias("covariates_missing"))
+
+
+def cell_status(scores: DataFrame) -> DataFrame:
+    """A cycle's verdict on each scored cell: insufficient_n before anything else, then by the margin without the affine
+    path; an undecided margin is a loss. Cells without new rows have no score and so no verdict."""
+    status = F.when(F.col("too_few"), "insufficient_n").when(F.col("beats_with_margin"), "win").otherwise("loss")
+    return scores.select("target", "zone", "n_grid", "rmse_grid_c", "rmse_model_c", "rmse_debiased_cv_c", "bias_correction_c", status.alias("status"))

@@ -478,3 +478,11 @@ def id_functions(spark, d):
     s = _t(spark, d, "customer").selectExpr("c_custkey AS id", "IF(c_custkey % 3 = 0, 'draft', '2026-0' || (c_custkey % 9 + 1) || '-' || right('00' || (c_custkey % 1000), 3)) AS text", "substr('ABCDEX', CAST(c_custkey % 6 + 1 AS INT), 1) AS grp")
     month, sequence = expr.split_id(F.col("text"))
     return s.select("id", month.alias("month"), sequence.alias("sequence"), expr.group_ordinal(F.col("grp")).alias("ordinal"))
+
+
+_NEW = "o_orderdate >= TIMESTAMP '1998-01-01'"
+
+
+@_query(_with("c_nationkey::VARCHAR", where="WHERE " + _NEW, tail="SELECT target, zone, n_grid, round(rmse_grid_c, 6) AS rmse_grid_c, round(rmse_model_c, 6) AS rmse_model_c, round(rmse_debiased_cv_c, 6) AS rmse_debiased_cv_c, round(bias_correction_c, 6) AS bias_correction_c, CASE WHEN too_few THEN 'insufficient_n' WHEN beats_with_margin THEN 'win' ELSE 'loss' END AS status FROM scores"))
+def cell_verdicts(spark, d):
+    return _round(gates.cell_status(score.score_band(_band(spark, d, "c_nationkey", where=_NEW), "salt")))
