@@ -238,6 +238,32 @@ def test_frequent_tokens_are_indexed_by_pairs():
             assert set(s.signatures(one[:, 0].copy())[1]) & set(s.signatures(two[:, 0].copy())[1])
 
 
+@pytest.mark.parametrize(("shingle", "percent", "words"), [(3, 90, 11), (5, 80, 8)])
+def test_one_word_more_is_linked(spark, shingle, percent, words):
+    rows = []
+    for g, names in enumerate([[f"r{i}" for i in range(words + 1)], ["the"] * 3 + ["of"] * 3 + ["and", "to", "the", "and", "of", "to"]]):
+        text = names[: words + 1]
+        rows += [(10 * g + 1, " ".join(text[:-1])), (10 * g + 2, " ".join(text)), (10 * g + 3, " ".join(text[1:]))]
+    rows += [(100 + i, " ".join(random.Random(i).choices(["the", "of", "and", "to"], k=40))) for i in range(40)]
+    got = op10_jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), shingle, percent).collect()
+    want = op10_jaccard_join.brute(rows, shingle, percent)
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want
+    assert all(want[d][1] == 1 for d in (1, 2, 3)) and all(want[d][1] == 11 for d in (11, 12, 13))
+
+
+@pytest.mark.parametrize(("shingle", "percent"), [(3, 90), (5, 80)])
+def test_one_token_more_shares_a_signature(shingle, percent):
+    rng = random.Random(2)
+    for n in range(1, 60):
+        s = op10_jaccard_join.Shingler({}, 1000, shingle, percent)
+        for _ in range(30):
+            more = np.sort(np.array([rng.randrange(1 << 12) << 48 | rng.randrange(1 << 48) for _ in range(n + 1)], np.uint64))
+            less = np.delete(more, rng.randrange(n + 1))
+            s.frequent = rng.choice([0, 1 << 11, 1 << 12])
+            shared = set(s.signatures(more)[1].tolist()) & set(s.signatures(less)[1].tolist())
+            assert shared or 100 * n < percent * (n + 1)
+
+
 def test_jaccard_at_the_edges(spark, odd):
     got = plain(op10_jaccard_join.join(odd).collect())
     assert ("None", "5", "None") in got and ("1", "0", "1") in got and got.count(("5", "1", "5")) == 2 and ("6", "1", "5") in got

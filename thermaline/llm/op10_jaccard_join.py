@@ -111,7 +111,7 @@ class Shingler:
         n = len(order)
         low = -(-self.percent * n // 100)
         prefix = order[: n - low + 1]
-        if 100 * (n - 1) < self.percent * n:  # one token less or more is too far: only equal sets
+        if 100 * n < self.percent * (n + 1):  # one token more is too far, and so is one less: only equal sets
             return prefix, prefix[:0]
         if (prefix[-1] >> np.uint64(48)) < self.frequent:
             return prefix, prefix
