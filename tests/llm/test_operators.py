@@ -264,6 +264,34 @@ def test_one_token_more_shares_a_signature(shingle, percent):
             assert shared or 100 * n < percent * (n + 1)
 
 
+@pytest.mark.parametrize("percent", [10, 30, 50, 60, 70, 80, 90])
+def test_low_thresholds_share_a_signature(percent):
+    rng = random.Random(4)
+    sizes = [(29, 48), (16, 32), (1, 2), (1, 9), (2, 3), (12, 40), *[(n, rng.randrange(n, 100 * n // percent + 1)) for n in range(1, 90)]]
+    for n, m in sizes:
+        s = op10_jaccard_join.Shingler({}, 1000, 3, percent)
+        for _ in range(10):
+            both = -(-percent * (n + m) // (100 + percent))  # the fewest that are enough
+            if both > n:
+                continue
+            every = np.array([rng.randrange(1 << 12) << 48 | i << 8 for i in range(n + m - both)], np.uint64)
+            one, two = np.sort(every[:n]), np.sort(every[n - both :])
+            s.frequent = rng.choice([0, 1 << 11])
+            assert set(s.signatures(one)[1].tolist()) & set(s.signatures(two)[1].tolist()) or n == m == both
+
+
+@pytest.mark.parametrize("percent", [50, 60])
+def test_low_thresholds_are_linked(spark, percent):
+    rng = random.Random(6)
+    words = ["the", "of", "and", "to", "a", "in"]
+    rows = [(i, " ".join(rng.choices(words, k=60))) for i in range(200)]
+    for g, (n, m) in enumerate([(16, 32), (29, 48), (30, 50), (17, 33)]):
+        text = rng.choices(words, k=m + 1)
+        rows += [(1000 + 10 * g, " ".join(text)), (1001 + 10 * g, " ".join(text[: n + 1]))]
+    got = op10_jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 2, percent).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == op10_jaccard_join.brute(rows, 2, percent)
+
+
 def test_jaccard_at_the_edges(spark, odd):
     got = plain(op10_jaccard_join.join(odd).collect())
     assert ("None", "5", "None") in got and ("1", "0", "1") in got and got.count(("5", "1", "5")) == 2 and ("6", "1", "5") in got

@@ -4,8 +4,9 @@ Tokens are hashes of word shingles. They are ordered by an estimate of their fre
 counts over the whole corpus (levels of the TOP_WORDS most frequent words are broadcast, others count as rarest), then by
 hash. Two sets of Jaccard similarity t share a token in their prefixes of n - ceil(t n) + 1 tokens. Prefix tokens of the
 rare class are indexed singly. Tokens estimated to be in FREQUENT documents or more by chance are indexed as pairs within
-hash classes, for which the prefix is extended by one token a class; sets that could share too few tokens for pairs are
-equal sets. Classes grow with the size of a set, so that pairs stay in proportion to it.
+hash classes, for which the prefix is extended by one token a class; sets that may share a single token (100 / percent
+tokens at most) keep it singly, and sets that one token more would take too far are linked with equal sets alone. Classes
+grow with the size of a set, so that pairs stay in proportion to it.
 
 Equal sets are one node from the start. Index buckets of up to SMALL nodes give their pairs, which first have to pass on
 the prefixes alone: a prefix holds all of its set's tokens up to its last one, so what is missing on either side there is a
@@ -116,7 +117,10 @@ class Shingler:
         if (prefix[-1] >> np.uint64(48)) < self.frequent:
             return prefix, prefix
         out = []
-        for classes in {self.classes(low), self.classes(100 * n // self.percent)}:
+        classes, most = self.classes(low), self.classes(100 * n // self.percent)
+        if self.percent * n <= 100:  # a partner may share one token alone, which makes no pair
+            out.append(prefix)
+        while classes <= most:
             longer = order[: n - low + 1 + classes]
             often = (longer >> np.uint64(48)) >= self.frequent
             out.append(longer[~often])
@@ -126,11 +130,13 @@ class Shingler:
                 own = some[kind == c]
                 i, j = np.triu_indices(len(own), 1)
                 out.append(mix64(own[i] * MIX1 + own[j] + np.uint64(classes)) | np.uint64(1 << 63))
+            classes *= 2
         return prefix, np.unique(np.concatenate(out))
 
     def classes(self, n: int) -> int:
-        """A power of two near half the prefix; partners of a set know all that it may take."""
-        return 1 << max(0, (n * (100 - self.percent) // 400).bit_length() - 1) if n else 1
+        """A power of two near half the prefix, or less where partners may share fewer tokens; a set is indexed by those of
+        all sizes that its partners may have, so that two partners have one in common."""
+        return 1 << max(0, (n * min(100 - self.percent, self.percent) // 400).bit_length() - 1) if n else 1
 
 
 def _long(x: np.ndarray) -> np.ndarray:
