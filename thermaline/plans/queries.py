@@ -251,7 +251,7 @@ def conformal_coverage(spark, d):
 SELECT id, round(min(list_distance(q.x, t.x)), 6) AS distance FROM q, t GROUP BY id""")
 def aoa_nearest(spark, d):
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
-    return _round(blend.dissimilarity(e.where("label >= 5"), e.where("label < 5").orderBy("id"), [1.0] * 64))
+    return _round(blend.dissimilarity(e.where("label >= 5"), e.where("label < 5"), [1.0] * 64))
 
 
 # Nearby stations: orders of a day, at the customer's place.
