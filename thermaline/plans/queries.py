@@ -42,9 +42,9 @@ _DELTA = "((o_orderkey % 13) - 6) * 0.06 + ((o_orderkey % 7) - 3) * 0.02"
 _STEEP = "((o_orderkey % 13) - 5) * 0.15 + ((o_orderkey % 7) - 3) * 0.01"
 
 
-def _band(spark, d, zone="c_mktsegment", delta=_DELTA, where="true") -> DataFrame:
+def _band(spark, d, zone="c_mktsegment", delta=_DELTA, where="true", applied="o_orderkey % 11 <> 0") -> DataFrame:
     both = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where(where)
-    return both.selectExpr("'tmax' AS target", f"CAST({zone} AS STRING) AS zone", "CAST(o_custkey AS STRING) AS station_id", "o_totalprice / 10000 AS grid", "o_totalprice / 10000 + ((o_orderkey % 13) - 5) * 0.1D AS truth", f"CAST({delta} AS DOUBLE) AS delta", "o_orderkey % 11 <> 0 AS applied", "o_orderdate", "o_orderkey")
+    return both.selectExpr("'tmax' AS target", f"CAST({zone} AS STRING) AS zone", "CAST(o_custkey AS STRING) AS station_id", "o_totalprice / 10000 AS grid", "o_totalprice / 10000 + ((o_orderkey % 13) - 5) * 0.1D AS truth", f"CAST({delta} AS DOUBLE) AS delta", f"{applied} AS applied", "o_orderdate", "o_orderkey")
 
 
 _SCORE = """
@@ -86,6 +86,13 @@ def band_score_thin(spark, d):
     return _round(score.score_band(_band(spark, d, "c_nationkey", where="c_custkey % 10 = 0"), "salt"))
 
 
+# Each customer a zone of its own: thin at any size, over all rows. Adding 0 makes a mean of -0 one of 0.
+@_query(_with("CAST(c_custkey AS VARCHAR)", tail=_SCORES_OUT.replace(", 6) AS", ", 6) + 0 AS")))
+def band_score_fine(spark, d):
+    got = _round(score.score_band(_band(spark, d, "c_custkey"), "salt"))
+    return got.withColumns({c: F.col(c) + F.lit(0.0) for c in _DOUBLES})
+
+
 @_query(_with(delta=_STEEP))
 def band_score_affine(spark, d):
     return _round(score.score_band(_band(spark, d, delta=_STEEP), "salt"))
@@ -122,6 +129,13 @@ def uncovered_cells(spark, d):
     return gates.uncovered(claims, score.score_band(_band(spark, d, "c_nationkey", where="c_nationkey % 3 <> 0"), "salt"))
 
 
+# All rows are scored; in some zones none is applied.
+@_query("SELECT 'tmax' AS target, CAST(n_nationkey AS VARCHAR) AS zone FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 11 <> 0 AND c_nationkey >= 5)")
+def uncovered_cells_unapplied(spark, d):
+    claims = gates.cells(_t(spark, d, "nation").agg(F.array(F.lit("tmax")).alias("targets"), F.collect_list(F.col("n_nationkey").cast("string")).alias("zones")))
+    return gates.uncovered(claims, score.score_band(_band(spark, d, "c_nationkey", applied="o_orderkey % 11 <> 0 AND c_nationkey >= 5"), "salt"))
+
+
 @_query(_with(tail=", " + _GATE + """, r AS (SELECT CAST(o_custkey AS VARCHAR) AS station_id, CAST(o_orderdate AS DATE) AS date, 'tmax' AS target, c_mktsegment AS zone, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
 p AS (SELECT station_id, date, target, arg_max(struct_pack(d := o_orderkey % 9 * 0.1, a := o_orderkey % 5 <> 0), o_orderkey) AS p FROM r WHERE o_orderkey % 4 <> 0 GROUP BY ALL)
 SELECT r.station_id, r.date, r.target, r.zone, r.o_orderkey, coalesce(p.p.a, false) AND gate.enabled IS NOT NULL AS applied,
