@@ -110,6 +110,16 @@ def test_token_file(spark, documents, odd, odd_rows):
     assert op4_token_file.read(spark, path).count() == 0
 
 
+def test_added_tokens_in_capitals_are_ordinary_text(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "a <|endoftext|> B <|STARTOFTEXT|>", "X<|EndOfText|>Y <|endoftext|>Z, <|ENDOFTEXT|>.", "<| ENDOFTEXT |> Plain WORDS <|startoftext|>A"]
+    ids = {r.doc_id: r.ids for r in op4_token_file.tokenise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS).collect()}
+    for d, t in enumerate(texts):
+        assert np.frombuffer(ids[d], "<u2").tolist() == [*library.encode(t, add_special_tokens=False).ids, 2]
+
+
 def passages(spark):
     """Passages of 45 to 70 words that many documents share, in different surroundings and also back to back."""
     rng = random.Random(5)

@@ -134,6 +134,14 @@ class Pieces(dict):
         #: Which ids end a match; none without a suffix for it, so that words() sends each word alone.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        #: Added tokens are found in the raw text.
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def fold(self, piece: bytes) -> bytes:
+        """ASCII capitals are lower-cased by the tokenizer, except that an added token isn't one in capitals; texts with
+        other characters could compose differently."""
+        low = piece.lower()
+        return low if piece.isascii() and not any(t in low for t in self.added) else piece
 
     def stem(self, piece: bytes) -> int:
         """Length of the word before closing marks; 0 where the piece is to be taken whole."""
@@ -160,8 +168,7 @@ class Pieces(dict):
         if len(self) + len(new) > self.LIMIT:
             self.clear()
             new = pieces
-        # ASCII capitals are lower-cased by the tokenizer; texts with other characters could compose differently.
-        folded = {p: p.lower() if p.isascii() else p for p in new}
+        folded = {p: self.fold(p) for p in new}
         cut = {p: n for p in folded.values() if (n := self.stem(p))}
         whole = set(folded.values()).difference(cut).union(p[:n] for p, n in cut.items()).union(p[n:] for p, n in cut.items()).difference(self)
         letters = [p for p in whole if p.decode("utf-8", "replace").isalpha() and b"\xef\xbf\xbd" not in p]
