@@ -1,5 +1,6 @@
 """Thin and uncovered cells come from all rows."""
 
+from thermaline.operators import score
 from thermaline.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -13,3 +14,9 @@ def test_thin_zones_over_all_orders(spark):
 
 def test_unapplied_zones_are_uncovered(spark):
     assert {"0", "1", "2", "3", "4"} <= {r.zone for r in queries.QUERIES["uncovered_cells_unapplied"](spark, DATA).collect()}
+
+
+def test_a_zone_without_applied_rows_has_no_model_score(spark):
+    rows = [("tmax", "z", "s", 20.0, 19.0, 0.5, False)] * 3
+    got = score.score_band(spark.createDataFrame(rows, "target string, zone string, station_id string, truth double, grid double, delta double, applied boolean"), "salt").first()
+    assert (got.n_grid, got.n_applied, got.rmse_grid_c, got.rmse_model_c, got.gain_model) == (3, 0, 1.0, None, None)

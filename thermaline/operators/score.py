@@ -49,7 +49,7 @@ def score_band(rows: DataFrame, salt: str) -> DataFrame:
     root = lambda x: F.sqrt(F.greatest(F.try_divide(x, n), F.lit(0.0)))
     spread = F.greatest(F.col("qq") - n * F.col("a_q") * F.col("a_q"), F.lit(0.0))
     z = z.withColumns({
-        "rmse_grid_c": F.sqrt(F.col("ss_grid") / F.col("n_grid")), "rmse_model_c": root(F.col("qq")), "bias_model_c": F.col("a_q"), "se_bias_c": F.when(n > 1, F.sqrt(spread / (n - 1)) / F.sqrt(n)),
+        "rmse_grid_c": F.sqrt(F.col("ss_grid") / F.col("n_grid")), "rmse_model_c": F.when(n > 0, root(F.col("qq"))), "bias_model_c": F.col("a_q"), "se_bias_c": F.when(n > 1, F.sqrt(spread / (n - 1)) / F.sqrt(n)),
         "rmse_debiased_cv_c": F.when(cv, root(F.col("rr_q"))), "bias_debiased_cv_c": F.when(cv, F.col("r_q") / n), "rmse_affine_cv_c": F.when(cv, root(F.col("rr_a"))), "bias_affine_cv_c": F.when(cv, F.col("r_a") / n), "scale": _slope("dd", "de", "n", "a_d", "a_e"),
     })
     z = z.withColumn("shift", F.when(_flat("dd", "n", "a_d"), F.col("a_e") / (F.col("a_d") * F.col("a_d") + 1)).otherwise(F.col("a_e") - F.col("scale") * F.col("a_d")))
