@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
@@ -88,3 +88,10 @@ def split_id(text: Column) -> tuple[Column, Column]:
     """Month and sequence of an id YYYY-MM-NNN; NULL for other texts."""
     form = r"^(\d{4}-\d{2})-(\d{3})$"
     return F.when(text.rlike(form), F.regexp_extract(text, form, 1)), F.when(text.rlike(form), F.regexp_extract(text, form, 2).cast("int"))
+
+
+def broken(df: DataFrame, keys: list[str], rules: list[tuple[Column, str]], name: str = "violation") -> DataFrame:
+    """keys and the text of each rule whose condition holds, one row each. The list is a column of its own before it is
+    exploded: inside a generator the optimizer mixes up fields of structs."""
+    listed = df.select(*keys, F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in rules])).alias("_rules"))
+    return listed.where(F.size("_rules") > 0).select(*keys, F.explode("_rules").alias(name))

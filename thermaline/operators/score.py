@@ -79,9 +79,10 @@ def _slope(dd: str, de: str, n: str, md: str, me: str):
     return F.when(_flat(dd, n, md), least_norm).otherwise(F.try_divide(F.col(de) - F.col(n) * F.col(md) * F.col(me), F.col(dd) - F.col(n) * F.col(md) * F.col(md)))
 
 
-def fidelity(band: DataFrame, reference: DataFrame) -> DataFrame:
-    """Both: station_id, date, tmax, tmin; of double keys on the right any one. Count, means and population deviations."""
-    right = reference.groupBy("station_id", "date").agg(F.max_by(F.struct("tmax", "tmin"), "ord").alias("r")) if "ord" in reference.columns else reference.select("station_id", "date", F.struct("tmax", "tmin").alias("r"))
+def fidelity(band: DataFrame, reference: DataFrame, order: str = "ord") -> DataFrame:
+    """Both: station_id, date, tmax, tmin; the reference also `order`, by which the last of double keys holds. Count, means
+    and population deviations."""
+    right = reference.groupBy("station_id", "date").agg(F.max_by(F.struct("tmax", "tmin"), order).alias("r"))
     both = band.join(right, ["station_id", "date"]).where(finite(F.col("tmax")) & finite(F.col("tmin")) & finite(F.col("r.tmax")) & finite(F.col("r.tmin")))
     dx, dn = F.col("tmax") - F.col("r.tmax"), F.col("tmin") - F.col("r.tmin")
     return both.agg(F.count("*").alias("n"), F.avg(dx).alias("tmax_mean"), F.stddev_pop(dx).alias("tmax_sd"), F.avg(dn).alias("tmin_mean"), F.stddev_pop(dn).alias("tmin_sd"))

@@ -137,25 +137,33 @@ def uncovered_cells_unapplied(spark, d):
 
 
 @_query(_with(tail=", " + _GATE + """, r AS (SELECT CAST(o_custkey AS VARCHAR) AS station_id, CAST(o_orderdate AS DATE) AS date, 'tmax' AS target, c_mktsegment AS zone, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
-p AS (SELECT station_id, date, target, arg_max(struct_pack(d := o_orderkey % 9 * 0.1, a := o_orderkey % 5 <> 0), o_orderkey) AS p FROM r WHERE o_orderkey % 4 <> 0 GROUP BY ALL)
-SELECT r.station_id, r.date, r.target, r.zone, r.o_orderkey, coalesce(p.p.a, false) AND gate.enabled IS NOT NULL AS applied,
-  round(CASE WHEN coalesce(p.p.a, false) AND gate.enabled IS NOT NULL THEN CASE WHEN scale IS NOT NULL THEN scale * p.p.d + "offset" ELSE p.p.d + coalesce(bias_correction, 0) END END, 5) AS delta_c,
-  CASE WHEN p.p IS NULL THEN 'no_prediction' WHEN NOT p.p.a THEN 'not_applied' WHEN gate.enabled IS NULL THEN 'gate_closed' ELSE 'applied' END AS reason
-FROM r LEFT JOIN p USING (station_id, date, target) LEFT JOIN gate ON gate.target = r.target AND gate.zone = r.zone"""))
+p AS (SELECT station_id, date, target, arg_max(struct_pack(d := o_orderkey % 9 * 0.1, a := o_orderkey % 5 <> 0, ood := o_orderkey % 6 = 0, cv := o_orderkey % 3 <> 0), o_orderkey) AS p FROM r WHERE o_orderkey % 4 <> 0 GROUP BY ALL),
+j AS (SELECT r.*, p.p AS p, scale, "offset", bias_correction, CASE WHEN p.p IS NULL THEN 'no_prediction' WHEN NOT p.p.a THEN 'not_applied' WHEN gate.enabled IS NULL THEN 'gate_closed' ELSE 'applied' END AS reason FROM r LEFT JOIN p USING (station_id, date, target) LEFT JOIN gate ON gate.target = r.target AND gate.zone = r.zone)
+SELECT station_id, date, target, zone, o_orderkey, reason, reason = 'applied' AS applied, round(CASE WHEN reason = 'applied' THEN CASE WHEN scale IS NOT NULL THEN scale * p.d + "offset" ELSE p.d + coalesce(bias_correction, 0) END END, 5) AS delta_c, CASE WHEN reason = 'applied' THEN round(p.d * 2, 5)::DOUBLE END AS ci95_c, CASE WHEN reason = 'applied' THEN 'high' ELSE 'low' END AS confidence,
+  p.ood AS out_of_distribution, CASE WHEN reason = 'not_applied' THEN 'x' ELSE '' END AS covariates_missing, CASE reason WHEN 'applied' THEN true WHEN 'not_applied' THEN p.cv WHEN 'gate_closed' THEN false END AS cv_gate_passed, 'm1' AS model_version FROM j"""))
 def frozen_regate(spark, d):
     r = _band(spark, d).select("station_id", F.to_date("o_orderdate").alias("date"), "target", "zone", "o_orderkey")
-    p = r.where("o_orderkey % 4 <> 0").selectExpr("station_id", "date", "target", "o_orderkey AS ord", "CAST(o_orderkey % 9 * 0.1 AS DOUBLE) AS delta_c", "o_orderkey % 5 <> 0 AS applied", "array('x') AS covariates_missing")
-    return _round(gates.regate(r, p, _gate(spark, d)).drop("covariates_missing"), 5)
+    p = r.where("o_orderkey % 4 <> 0").selectExpr("station_id", "date", "target", "o_orderkey AS ord", "CAST(o_orderkey % 9 * 0.1 AS DOUBLE) AS delta_c", "CAST(o_orderkey % 9 * 0.2 AS DOUBLE) AS ci95_c", "'high' AS confidence", "o_orderkey % 5 <> 0 AS applied", "o_orderkey % 6 = 0 AS out_of_distribution", "array('x') AS covariates_missing", "o_orderkey % 3 <> 0 AS cv_gate_passed")
+    return _round(gates.regate(r, p, _gate(spark, d), "m1").withColumn("covariates_missing", F.array_join("covariates_missing", ",")), 5)
 
 
 @_query("""WITH b AS (SELECT user_id, CAST(ts AS DATE) AS date, max(value) AS tmax, min(value) AS tmin FROM events WHERE event_id % 3 <> 0 GROUP BY ALL), r AS (SELECT user_id, CAST(ts AS DATE) AS date, max(value) AS tmax, min(value) AS tmin FROM events WHERE event_id % 3 <> 1 GROUP BY ALL)
 SELECT count(*) AS n, round(avg(b.tmax - r.tmax), 6) AS tmax_mean, round(stddev_pop(b.tmax - r.tmax), 6) AS tmax_sd, round(avg(b.tmin - r.tmin), 6) AS tmin_mean, round(stddev_pop(b.tmin - r.tmin), 6) AS tmin_sd FROM b JOIN r USING (user_id, date)""")
 def fidelity(spark, d):
     e = _t(spark, d, "events").withColumnRenamed("user_id", "station_id").withColumn("date", F.to_date("ts"))
-    daily = lambda k: e.where(f"event_id % 3 <> {k}").groupBy("station_id", "date").agg(F.max("value").alias("tmax"), F.min("value").alias("tmin"))
+    daily = lambda k: e.where(f"event_id % 3 <> {k}").groupBy("station_id", "date").agg(F.max("value").alias("tmax"), F.min("value").alias("tmin"), F.max("event_id").alias("ord"))
     return _round(score.fidelity(daily(0), daily(1)))
 
 
+# Each event is a row of the reference: keys occur many times, and the last event holds.
+@_query("""WITH b AS (SELECT user_id, CAST(ts AS DATE) AS date, max(value) AS x FROM events WHERE event_id % 3 <> 0 GROUP BY ALL), r AS (SELECT user_id, CAST(ts AS DATE) AS date, arg_max(value, event_id) AS x FROM events GROUP BY ALL)
+SELECT count(*) AS n, round(avg(b.x - r.x), 6) AS tmax_mean, round(stddev_pop(b.x - r.x), 6) AS tmax_sd FROM b JOIN r USING (user_id, date)""")
+def fidelity_double_keys(spark, d):
+    e = _t(spark, d, "events").selectExpr("user_id AS station_id", "to_date(ts) AS date", "value AS tmax", "0D AS tmin", "event_id AS ord")
+    band = e.where("ord % 3 <> 0").groupBy("station_id", "date").agg(F.max("tmax").alias("tmax"), F.lit(0.0).alias("tmin"))
+    return _round(score.fidelity(band, e).select("n", "tmax_mean", "tmax_sd"))
+
+
 @_query(_with(tail=""", long AS (UNPIVOT (SELECT target, zone, rmse_grid_c, rmse_model_c, bias_model_c FROM scores) ON rmse_grid_c, rmse_model_c, bias_model_c INTO NAME metric VALUE value),
 w AS (SELECT metric, max(abs(round(value, 2) - round(value, 4))) AS worst FROM long GROUP BY metric), t AS (SELECT unnest(['rmse_grid_c', 'rmse_model_c', 'bias_model_c', 'absent']) AS metric)
 SELECT metric, round(coalesce(worst, 0), 6) AS worst, coalesce(worst, 0) <= 0.1 AS ok FROM t LEFT JOIN w USING (metric)"""))
@@ -286,6 +294,15 @@ def neighbour_deltas(spark, d):
     return _round(blend.station_deltas(blend.neighbours(_near(spark, d), 2000.0), 800.0), 5)
 
 
+@_query(f"""WITH {_NEAR}, m AS (SELECT id, day, count(*) AS n_near, sum(exp(-1 * (km / 800) ** 2)) AS wsum, sum(exp(-1 * (km / 800) ** 2) * (a2 + CASE WHEN other % 7 = 0 OR id % 7 = 0 THEN 0 ELSE 0.0065 * (e2 - elevation) END)) AS wa FROM n WHERE other % 5 <> 0 GROUP BY ALL)
+SELECT id, day, n_near, round(wsum, 5) AS wsum, round(wa / wsum, 5) AS delta_station FROM m""")
+def neighbour_deltas_with_nan(spark, d):
+    """Anomalies and elevations that are NaN here and there."""
+    gap = lambda c, k: F.when(F.col("id") % k == 0, float("nan")).otherwise(F.col(c))
+    r = _near(spark, d).withColumns({"anomaly": gap("anomaly", 5), "elevation": gap("elevation", 7)})
+    return _round(blend.station_deltas(blend.neighbours(r, 2000.0), 800.0), 5)
+
+
 _MIX = f"""{_NEAR}, b AS (SELECT r.id, r.zone, r.anomaly AS e, CASE WHEN r.id % 3 <> 0 THEN r.anomaly * 0.5 END AS dm, sd.delta_station AS ds, CASE WHEN n_near > 0 THEN 1 - exp(-wsum / 2.0) ELSE 0 END AS lam FROM r LEFT JOIN sd USING (id, day)),
 f AS (SELECT *, coalesce((1 - lam) * dm + lam * ds, ds, dm) AS db FROM b)"""
 
@@ -459,6 +476,11 @@ def region_excluded(spark, d):
     return rows.regions(_t(spark, d, "customer").selectExpr("c_name AS station_id"), ["Customer#00000001", "Customer#00000002"], exclude=True)
 
 
+@_query("SELECT c_name AS station_id FROM customer WHERE starts_with(c_name, 'Customer#00000001') OR starts_with(c_name, 'Customer#00000002')")
+def region_included(spark, d):
+    return rows.regions(_t(spark, d, "customer").selectExpr("c_name AS station_id"), ["Customer#00000001", "Customer#00000002"])
+
+
 @_query("""WITH s AS (SELECT (c_custkey * 37 % 1800) / 10.0::DOUBLE - 90 AS lat, (c_custkey * 53 % 3600) / 10.0::DOUBLE - 180 AS lon FROM customer)
 SELECT round(min(lat) - 0.25, 6) AS south, round(max(lat) + 0.25, 6) AS north, round(min(lon) - 0.25, 6) AS west, round(max(lon) + 0.25, 6) AS east, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM s""")
 def bounding_box(spark, d):

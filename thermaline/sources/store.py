@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,26 @@ from pyspark.sql import functions as F
 BANDS = ("era5", "lag_fill", *(f"forecast_lead{i}" for i in range(1, 8)))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share: spark.checkpoint.dir, or where that is unset a local one, which
+    only a local session can use."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='thermaline-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found}/thermaline-{uuid.uuid4().hex}"
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a file, and makes the folder it goes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(new).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(new).getParent())
+    fs.rename(path(old), path(new))
+
+
 def write_partitions(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
     """One sorted zstd file for each partition; only partitions that occur in rows are replaced."""
     rows.repartition(*keys).sortWithinPartitions(*keys, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*keys).parquet(path)
