@@ -9,7 +9,7 @@ evidence is added in logarithms. A row is accepted if its best language isn't 'u
 
 Defined cases: null texts are empty, have no text evidence, and are never accepted; null hosts, suffixes or declarations
 give no evidence of their own; repeated rows are judged alike; without labelled rows everything is 'und'; an empty table
-gives no rows; other columns are carried in a struct.
+gives no rows; other columns are carried in a struct. A very long text is read in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from .common import materialise, session, table
+from .common import mapped, materialise, session, table
 
 SLOTS = 1 << 16
 TRAIN_DOCS = 400
+#: Bytes of text that a worker turns into trigrams at once.
+CHUNK = 1 << 20
 EVIDENCE = 100
 ACCEPT = 0.5
 SMOOTH = 20.0
@@ -31,22 +34,36 @@ UNKNOWN = "und"
 BROADCAST_HOSTS = 200_000
 
 
-def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the byte trigrams of all texts (of letters and spaces; others are spaces), and how many each text has."""
-    sizes, flat = [], []
-    for t in texts:
-        words = b" ".join(t.translate(_LETTERS).split())
+def _pieces(texts: list[bytes]):
+    """(number of the text, its letters and spaces) in pieces of CHUNK bytes at most; pieces of a text overlap by two."""
+    for k, text in enumerate(texts):
+        words = b" ".join(text.translate(_LETTERS).split())
         words = b" " + words + b" " if words else b""
-        sizes.append(max(len(words) - 2, 0))
-        flat.append(words)
-    joined = np.frombuffer(b"".join(flat), np.uint8).astype(np.uint32)
-    if len(joined) < 3:
-        return np.zeros(0, np.int64), np.array(sizes, np.int64)
+        for at in range(0, len(words) - 2, CHUNK):
+            yield k, words[at : at + CHUNK + 2]
+
+
+def _groups(texts: list[bytes]):
+    """Pieces of texts, together CHUNK bytes or little more: what is worked on at once, however long a text is."""
+    group, held = [], 0
+    for piece in _pieces(texts):
+        group.append(piece)
+        held += len(piece[1])
+        if held >= CHUNK:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def trigrams(pieces: list[bytes]) -> np.ndarray:
+    """Slots of the byte trigrams of the pieces, which have three bytes at least, one piece after another."""
+    joined = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32)
     code = (joined[:-2] << 16) | (joined[1:-1] << 8) | joined[2:]
+    ends = np.cumsum([len(x) for x in pieces])[:-1]
     keep = np.ones(len(code), bool)
-    ends = np.cumsum([len(x) for x in flat if x])[:-1]
     keep[np.concatenate([ends - 1, ends - 2])] = False
-    return ((code[keep] * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64), np.array(sizes, np.int64)
+    return ((code[keep] * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int32)
 
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -60,32 +77,36 @@ class TextModel:
         self.table = np.vstack([*table, np.full(SLOTS, -3 * np.log(27.0))])
 
     def likelihoods(self, texts: list[bytes]) -> np.ndarray:
-        slots, sizes = trigrams(texts)
-        out = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            starts = (np.cumsum(sizes) - sizes)[full]
+        out, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for group in _groups(texts):
+            owner, n = np.array([k for k, _ in group]), np.array([len(x) - 2 for _, x in group], np.int64)
+            slots, starts = trigrams([x for _, x in group]), np.cumsum(n) - n
+            np.add.at(sizes, owner, n)
             for k, row in enumerate(self.table):
-                out[full, k] = np.add.reduceat(row[slots], starts) / sizes[full] * np.minimum(sizes[full], EVIDENCE)
-        return out
+                np.add.at(out[:, k], owner, np.add.reduceat(row[slots], starts))
+        return out / np.maximum(sizes, 1)[:, None] * np.minimum(sizes, EVIDENCE)[:, None]
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> TextModel:
-    """docs: doc_id, text, lang."""
+    """docs: doc_id, text, lang. A language's sample is the rows whose hash of doc_id is in a share of all hashes, which is
+    so large that it holds per_language of them but for a chance in millions; those of the least hash train."""
     session(docs)
-    ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang").distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id"))
-    ids = ids.withColumn("k", rank).where(F.col("k") <= per_language).select("doc_id", "lang")
-    some = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("of"))
+    h = F.xxhash64("doc_id", F.lit(8))
+    share = known.join(F.broadcast(sizes), "lang").where(F.shiftrightunsigned(h, 11).cast("double") * F.col("of") < (per_language + 6 * per_language**0.5 + 10) * 2.0**53)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    some = share.select("lang", "doc_id", "text", h.alias("h")).dropDuplicates(["lang", "doc_id"]).withColumn("k", rank).where(F.col("k") <= per_language).select("lang", "text")
 
     def count(batches):
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                slots, n = np.unique(trigrams([text])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(slots, pa.int64()), pa.array(n, pa.int64())], ["lang", "slot", "n"])
+                for group in _groups([text]):
+                    slots, n = np.unique(trigrams([x for _, x in group]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(slots, pa.int32()), pa.array(n, pa.int64())], ["lang", "slot", "n"])
 
     counts: dict[str, np.ndarray] = {}
-    got = some.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    got = mapped(some, count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     for lang, slot, n in zip(got["lang"].to_pylist(), got["slot"].to_pylist(), got["n"].to_pylist(), strict=True):
         counts.setdefault(lang, np.zeros(SLOTS))[slot] = n
     return TextModel(counts)
@@ -102,8 +123,8 @@ def _likelihoods(rows: DataFrame, model: TextModel) -> DataFrame:
             names = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(ll.tolist(), pa.list_(pa.float64())), pa.array(heard, pa.string())], [*names, "ll", "heard"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(apply, f"{fields}, ll array<double>, heard string")
+    fields = [f for f in rows.schema if f.name != "text"]
+    return mapped(rows, apply, StructType([*fields, StructField("ll", ArrayType(DoubleType())), StructField("heard", StringType())]))
 
 
 def fuse(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -151,7 +172,7 @@ def of_pages(pages: DataFrame, *rest) -> DataFrame:
 
 def accept(docs: DataFrame) -> DataFrame:
     """The rows of docs that are accepted, with the columns of docs."""
-    return fuse(of_documents(docs, F.struct(*docs.columns).alias("row")), train(docs)).where("accepted").select("row.*")
+    return fuse(of_documents(docs, F.struct("*").alias("row")), train(docs)).where("accepted").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
