@@ -247,6 +247,11 @@ def _arrays(part: pd.DataFrame):
     return np.stack(part["x"].to_numpy()).astype(float), part["y"].to_numpy(float)
 
 
+def _none(*columns: str) -> pd.DataFrame:
+    """No rows."""
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def _one(spark) -> DataFrame:
     return spark.createDataFrame([("all",)], "combo string")
 
@@ -259,7 +264,7 @@ def forest_cv(rows: DataFrame, combos: list[dict] | None = None, trees: int = 30
     def fit(key, part: pd.DataFrame) -> pd.DataFrame:
         test, train = part[part["held"]], part[~part["held"]]
         if len(train) < least or not len(test):
-            return pd.DataFrame({c: [] for c in ("combo", "id", "lo", "mid", "hi", "distance")})
+            return _none("combo", "id", "lo", "mid", "hi", "distance")
         train = train.sort_values("id")
         c, (x, y), (at, _) = chosen[key[0]], _arrays(train), _arrays(test)
         forest = Forest(x, y, trees, c["min_samples_leaf"], c["max_features"], c["max_depth"])
@@ -277,7 +282,7 @@ def kriging_cv(rows: DataFrame, cap: int = CAP, least: int = MIN_TRAIN, points:
     def fit(key, part: pd.DataFrame) -> pd.DataFrame:
         test, train = part[part["held"]], part[~part["held"]].sort_values("id")
         if len(train) < least or not len(test):
-            return pd.DataFrame({"id": [], "pred": [], "kriged": []})
+            return _none("id", "pred", "kriged")
         (x, y), (at, _) = _arrays(train), _arrays(test)
         one = lambda m: np.column_stack([np.ones(len(m)), m])
         trend = np.linalg.lstsq(one(x), y, rcond=None)[0]
@@ -300,7 +305,7 @@ def boosted_cv(rows: DataFrame, rate: float, rounds: int, leaf: int, cap: int =
     def fit(key, part: pd.DataFrame) -> pd.DataFrame:
         test, train = part[part["held"]], part[~part["held"]].sort_values("id")
         if len(train) < least or not len(test):
-            return pd.DataFrame({"fold": [], "quantile": [], "id": [], "v": []})
+            return _none("fold", "quantile", "id", "v")
         (x, y), (at, _) = _arrays(train), _arrays(test)
         return pd.DataFrame({"fold": key[1], "quantile": key[0], "id": test["id"].to_numpy(), "v": boosted(x, y, at, key[0], rate, rounds, leaf)})
 
