@@ -8,7 +8,8 @@ The benchmark is sent to the executors in slices of SLICE_WORDS words at most, w
 its own, and what the slices found is merged by row.
 
 Defined cases: null texts have no words; documents without words have no hits; null doc_ids and repeated rows give a row
-each; null item_ids are the text 'null'; an empty benchmark hits nothing; other columns are carried in a struct.
+each; null item_ids are the text 'null'; an empty benchmark hits nothing; other columns are carried in a struct; a very long
+text is scanned whole, in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, table
+from .common import mapped, session, table
 
 N = 10
 #: Bound of what is broadcast: words of benchmark text in one slice (about 100 MB as tables of a worker).
@@ -88,6 +89,48 @@ class Grams:
         return [(s, np.flatnonzero(hit[a : a + s]), found.get(k, set())) for k, (a, s) in enumerate(zip(starts.tolist(), sizes, strict=True))]
 
 
+def _slices(benchmark: DataFrame, id_col: str, text_col: str):
+    """Items in slices of bounded size, one after another: rows are taken from the cluster one partition at a time, and the
+    driver holds no more than one slice of them."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    items, words = [], 0
+    for item, text in rows.toLocalIterator():
+        words += (size := len(words_of(bytes(text))))
+        if words > SLICE_WORDS and items:
+            yield items
+            items, words = [], size
+        items.append((item, bytes(text)))
+    yield items
+
+
+def scan(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, set[str]]]:
+        """For each text: words, the numbers of the words hit, and the items found."""
+        get, sizes, ids = self.vocabulary.get, [], [np.zeros(N, np.int32)]
+        for text in texts:
+            words = words_of(text)
+            sizes.append(len(words))
+            ids.append(np.fromiter([get(w, 0) for w in words], np.int32, len(words)))
+            ids.append(np.zeros(1, np.int32))
+        flat = np.concatenate([*ids, np.zeros(N, np.int32)])
+        starts = N + np.cumsum([0, *(s + 1 for s in sizes[:-1])])
+        zeros = np.append(0, np.cumsum(flat == 0))
+        mark, found = np.zeros(len(flat) + 1, np.int32), {}
+        for size, hashes in self.hashes.items():
+            at = np.flatnonzero(zeros[size:] == zeros[:-size])
+            for part in np.array_split(at, len(at) // 200_000 + 1):
+                rows = np.lib.stride_tricks.sliding_window_view(flat, size)[part]
+                h = self.hash(rows)
+                near = np.searchsorted(hashes, h)
+                near[near == len(hashes)] = 0
+                for i in np.flatnonzero(hashes[near] == h).tolist():
+                    if items := self.items.get(rows[i].tobytes()):
+                        mark[part[i]] += 1
+                        mark[part[i] + size] -= 1
+                        found.setdefault(int(np.searchsorted(starts, part[i], "right")) - 1, set()).update(items)
+        hit = np.cumsum(mark) > 0
+        return [(s, np.flatnonzero(hit[a : a + s]), found.get(k, set())) for k, (a, s) in enumerate(zip(starts.tolist(), sizes, strict=True))]
+
+
 def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, bytes]]]:
     """Items in slices of bounded size; rows are taken from the cluster one partition at a time."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
@@ -104,7 +147,7 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, n_words, hit_words (numbers of the words inside a window), items (sorted), and with carry the row of docs."""
     spark = session(docs)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *[F.struct("*").alias("row")] * carry)
     state = base.withColumns({"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     schema = state.schema
     for items in _slices(benchmark, "item_id", "text"):
@@ -118,7 +161,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_i
                 new = {"n_words": pa.array([x[0] for x in both], pa.int64()), "hit_words": pa.array([x[1].astype(np.int32) for x in both], pa.list_(pa.int32())), "items": pa.array([x[2] for x in both], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([new.get(c, b.column(c) if c not in new else None) for c in b.schema.names], b.schema.names)
 
-        state = state.mapInArrow(apply, schema)
+        state = mapped(state, apply, schema)
     return state.drop("text")
 
 
