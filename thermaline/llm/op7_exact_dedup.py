@@ -7,7 +7,7 @@ fingerprint has a count above one go on to the comparison of whole texts, which
 
 Defined cases: a null text is the empty text; rows with equal text and equal largest doc_id are all marked as kept, and
 dedup() returns one of them; null doc_ids lose against any other, a group of null ids only keeps its rows' mark; an
-empty table gives no rows; other columns are carried in a struct and can't clash.
+empty table gives no rows; other columns are carried in a struct and can't clash; a very long text is compared whole.
 """
 
 from __future__ import annotations
@@ -17,32 +17,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, session, union
+from .common import mapped, materialise, session, union
 
 SLICE_BITS = 8
+#: Rows of a slice that one task merges (some 200 MB): beyond 2^8 times as many, a fingerprint's slice has more bits.
+SLICE_ROWS = 4_000_000
+#: Rows of a group that meet in one task; larger groups are dealt over tasks by doc_id.
+HOT = 200
+MAX_SHARES = 10_000
+#: Fingerprints that a worker gathers before it sorts them.
+SORT_ROWS = 1 << 20
 #: Fingerprints with copies are sent to all executors up to this many (16 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 
 
-def encode_filter(values: np.ndarray, counts: np.ndarray) -> bytes:
-    """values: sorted distinct fingerprints without their slice bits, 56 bits wide."""
+def encode_filter(values: np.ndarray, counts: np.ndarray, bits: int = SLICE_BITS) -> bytes:
+    """values: sorted distinct fingerprints without their slice bits."""
     n = len(values)
     q = 16 if n >= 1 << 16 else 8 if n >= 1 << 8 else 0
-    width = (64 - SLICE_BITS - q) // 8
+    width = -(-(64 - bits - q) // 8)
     quotient = (values >> np.uint64(8 * width)).astype(np.int64)
     occupied = np.zeros(1 << q, bool)
     occupied[quotient] = True
     ends = np.append(quotient[1:] != quotient[:-1], True)
     remainder = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width]
     many = np.flatnonzero(counts > 1)
-    head = np.array([q, n, len(many)], "<i8")
+    head = np.array([q, n, len(many), width], "<i8")
     return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, np.packbits(occupied), np.packbits(ends), remainder, many.astype("<u4"), counts[many].astype("<i8")))
 
 
 def decode_filter(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    q, n, k = np.frombuffer(data, "<i8", 3).tolist()
-    at = 24
-    width = (64 - SLICE_BITS - q) // 8
+    q, n, k, width = np.frombuffer(data, "<i8", 4).tolist()
+    at = 32
     occupied = np.unpackbits(np.frombuffer(data, np.uint8, ((1 << q) + 7) // 8, at), count=1 << q).astype(bool)
     at += ((1 << q) + 7) // 8
     ends = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), count=n)
@@ -59,7 +65,11 @@ def decode_filter(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def merge_filters(filters: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The filter of all rows: equal remainders of a quotient become one, with the sum of their counts."""
-    parts = [decode_filter(x) for x in filters]
+    return _counted([decode_filter(x) for x in filters])
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the sums of their counts."""
     values, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(values, kind="stable")
     values, counts = values[order], counts[order]
@@ -67,50 +77,64 @@ def merge_filters(filters: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.add.reduceat(counts, first)
 
 
-def _build(batches):
-    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    shift = np.uint64(64 - SLICE_BITS)
-    for batch in batches:
-        new, c = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_counts=True)
-        values, back = np.unique(np.concatenate([values, new]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, c])).astype(np.int64)
-    if not len(values):
-        return
-    slices = (values >> shift).astype(np.int64)
-    at = np.flatnonzero(np.append(True, slices[1:] != slices[:-1]))
-    low = values & ((np.uint64(1) << shift) - np.uint64(1))
-    ids = slices[at]
-    data = [encode_filter(low[a:b], counts[a:b]) for a, b in zip(at, [*at[1:], len(values)], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["slice", "filter"])
-
-
-def _merge(key, filters):
-    values, counts = merge_filters(filters.column("filter").to_pylist())
-    full = values[counts > 1] | (np.uint64(key[0].as_py()) << np.uint64(64 - SLICE_BITS))
-    return pa.table({"fp": full.view(np.int64), "n": counts[counts > 1]})
+def _build(bits: int):
+    def apply(batches):
+        parts, held, shift = [], 0, np.uint64(64 - bits)
+        for batch in batches:
+            new = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if len(new):
+                parts.append((new, np.ones(len(new), np.int64)))
+                held += len(new)
+            if held > max(SORT_ROWS, 2 * len(parts[0][0]) if parts else 0):
+                parts = [_counted(parts)]
+                held = len(parts[0][0])
+        if not parts:
+            return
+        values, counts = _counted(parts)
+        slices = (values >> shift).astype(np.int64)
+        at = np.flatnonzero(np.append(True, slices[1:] != slices[:-1]))
+        low = values & ((np.uint64(1) << shift) - np.uint64(1))
+        for i in range(0, len(at), 4096):
+            part = at[i : i + 4096]
+            data = [encode_filter(low[a:b], counts[a:b], bits) for a, b in zip(part.tolist(), [*at[i + 1 : i + 4097].tolist(), len(values)][: len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(slices[part], pa.int32()), pa.array(data, pa.binary())], ["slice", "filter"])
+
+    return apply
+
+
+def _merge(bits: int):
+    def apply(key, filters):
+        values, counts = merge_filters(filters.column("filter").to_pylist())
+        full = values[counts > 1] | (np.uint64(key[0].as_py()) << np.uint64(64 - bits))
+        return pa.table({"fp": full.view(np.int64), "n": counts[counts > 1]})
+
+    return apply
 
 
 def repeated_fingerprints(fps: DataFrame) -> DataFrame:
     """fp, n of the fingerprints that more than one row of fps (one bigint column fp) has."""
-    built = fps.select("fp").mapInArrow(_build, "slice int, filter binary")
-    return built.groupBy("slice").applyInArrow(_merge, "fp long, n long")
+    bits = min(24, max(SLICE_BITS, (-(-fps.count() // SLICE_ROWS)).bit_length()))
+    built = mapped(fps.select("fp"), _build(bits), "slice int, filter binary")
+    return built.groupBy("slice").applyInArrow(_merge(bits), "fp long, n long")
 
 
 def _classify(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
     session(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"), *[F.struct("*").alias("row")] * carry)
-    dups = materialise(repeated_fingerprints(base).select("fp"))
+    dups = materialise(repeated_fingerprints(base))
     small = dups.count() <= BROADCAST_ROWS
     dups = F.broadcast(dups) if small else dups
     rest = [F.col("row")] * carry
     alone = base.join(dups, "fp", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("ties"), F.sha2("text", 256).alias("text_sha256"), *rest)
-    some = base.join(dups, "fp", "left_semi")
+    shares = F.least(F.floor(F.col("n") / HOT) + 1, F.lit(MAX_SHARES)).cast("int")  # of a fingerprint's rows: one, but for large groups
+    some = base.join(dups, "fp").withColumn("shares", shares).withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("shares")).cast("int")).drop("n")
     groups = (
-        some.groupBy("fp", "text", "doc_id").agg(F.count("*").alias("n"))
-        .groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max(F.struct("doc_id", "n"))["n"].alias("ties"), F.sha2(F.first("text"), 256).alias("text_sha256"))
+        some.groupBy("fp", "shares", "text", "doc_id").agg(F.count("*").alias("m"))
+        .groupBy("fp", "shares", "text").agg(F.max("doc_id").alias("keep_id"), F.sum("m").alias("group_size"), F.max(F.struct("doc_id", "m"))["m"].alias("ties"))
+        .withColumn("text_sha256", F.sha2("text", 256)).withColumn("share", F.explode(F.expr("sequence(0, shares - 1)")))
     )
-    same = some.alias("a").join(groups.alias("g"), (F.col("a.fp") == F.col("g.fp")) & (F.col("a.text") == F.col("g.text")))
+    same = some.alias("a").join(groups.alias("g"), (F.col("a.fp") == F.col("g.fp")) & (F.col("a.share") == F.col("g.share")) & (F.col("a.text") == F.col("g.text")))
     same = same.select("a.doc_id", "g.keep_id", "g.group_size", F.col("a.doc_id").eqNullSafe(F.col("g.keep_id")).alias("kept"), "g.ties", "g.text_sha256", *[F.col("a.row")] * carry)
     return union(alone, same)
 
