@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX1, MIX2, WordHash, mix64, pack, session, unpack
+from .common import MIX1, MIX2, WordHash, mapped, materialise, mix64, pack, session, union, unpack
 
 WINDOW, GRAM = 50, 8
 BITMAP_BITS = 1 << 27
@@ -23,6 +23,8 @@ BUCKET_BYTES = 8 << 20
 #: At most so many minimisers are treated as hot: `hot` is raised until this bound holds by arithmetic.
 HOT_LIST = 100_000
 HOT = 20_000
+#: Texts that lose words and are sent to all executors by id (16 bytes each); beyond, all texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 _hash = WordHash()
 
 
@@ -80,9 +82,7 @@ def selected_often(base: DataFrame, window: int, gram: int, positions: bool, hot
             got, n = np.unique(Words(b.column("text").to_pylist(), window, gram, positions).value, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["v", "n"])
 
-    from .common import materialise
-
-    counted = materialise(base.select("text").mapInArrow(values, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where("n > 1"))
+    counted = materialise(mapped(base.select("text"), values, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where("n > 1"))
     total = counted.agg(F.sum("n")).first()[0] or 0
     hot = max(hot, total // HOT_LIST)
     bits = counted.selectExpr(f"shiftright(v & {BITMAP_BITS - 1}L, 6) AS w", "shiftleft(1L, cast(v & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -124,17 +124,16 @@ def slices(docs_base: DataFrame, positions: bool, window: int = WINDOW, gram: in
                 value = np.append(value[~burn], whole[alone])
             bucket = (mix64(value) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            borders = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            occupied, borders = np.unique(bucket[order], return_index=True)
             rows = []
-            for k in np.flatnonzero(np.diff(borders)).tolist():
-                own = order[borders[k] : borders[k + 1]]
+            for k, own in zip(occupied.tolist(), np.split(order, borders[1:]), strict=True):
                 number: dict = {}
                 which = [number.setdefault((b" ".join(x.words[s:e]), p), len(number)) for s, e, p in zip(lo[own].tolist(), hi[own].tolist(), (pivot - lo)[own].tolist(), strict=True)]
                 text = b"\n".join(t for t, _ in number)
                 rows.append((k, pack(text, np.array([p for _, p in number], "<i4"), np.array(which, "<i4"), docs[doc[own]].astype("<i8"), keys[doc[own]].astype("<i8"), (lo - x.starts[doc])[own].astype("<i4"))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
-    dealt = base.mapInArrow(deal, "bucket int, data binary")
+    dealt = mapped(base, deal, "bucket int, data binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket")
 
 
@@ -189,7 +188,7 @@ def spans(dealt: DataFrame, judge) -> DataFrame:
         if rows:
             yield done()
 
-    return dealt.mapInArrow(apply, "doc_id long, key long, a int, b int")
+    return mapped(dealt, apply, "doc_id long, key long, a int, b int")
 
 
 def runs_of(flags: np.ndarray, owner: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +220,15 @@ def remove(base: DataFrame, found: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return base.join(covered, ["doc_id", "key"], "left").select("doc_id", "text", "a", "b").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept binary")
+    schema = "doc_id long, n_words long, n_removed long, kept binary"
+    covered = materialise(covered)
+    if covered.count() > BROADCAST_ROWS:
+        return mapped(base.join(covered, ["doc_id", "key"], "left").select("doc_id", "text", "a", "b"), apply, schema)
+    # Only texts that lose words are shuffled.
+    hit = F.broadcast(covered.select("doc_id", "key"))
+    some = base.join(hit, ["doc_id", "key"], "left_semi").join(covered, ["doc_id", "key"]).select("doc_id", "text", "a", "b")
+    none = F.lit(None).cast("array<int>")
+    return mapped(union(some, base.join(hit, ["doc_id", "key"], "left_anti").select("doc_id", "text", none.alias("a"), none.alias("b"))), apply, schema)
 
 
 def brute(docs: list[tuple], window: int = WINDOW) -> list[tuple]:
