@@ -14,7 +14,9 @@ documents, in no fixed order among themselves; an empty table gives no blocks; o
 
 from __future__ import annotations
 
+import functools
 import heapq
+import json
 import os
 import zlib
 
@@ -23,8 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pack, session, table, text_bytes, unpack
+from .common import distinct_words, mapped, materialise, pack, ranges, session, table, text_bytes, unpack
 
+#: Bytes of letters that composing leaves alone and lower-casing changes in ASCII alone (a to z, and in UTF-8 the small ones of
+#: Latin-1): 1. Closing marks, which are a match of their own after a letter: 2. All others: 0.
+_CLASS = np.array([1 if chr(b).isascii() and chr(b).isalpha() or b == 0xC3 or 0x9F <= b <= 0xBF and b != 0xB7 else 2 if b in b".,;:!?" else 0 for b in range(256)], np.int8)
+_LOW = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Ends a word in the merger's texts; no letter.
+MARK = b"\n"
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 END_ID = 2
 MAX_BITS = 16
 SEGMENT = 64
@@ -117,93 +126,146 @@ class Decoder:
         return out.T.ravel()[:n]
 
 
-class Pieces(dict):
-    """Text between ASCII white space -> its ids as bytes. The tokenizer drops white space and joins nothing across it."""
-
-    LIMIT = 600_000
-    #: Marks that end a word: after an ASCII letter or digit they are a match of their own, so the word before them is looked up alone.
-    MARKS = b".,;:!?"
-
-    def __init__(self, path: str):
+def _units(token: str, suffix: str) -> list[str]:
+    """What merging starts from: characters, the last one with the suffix."""
+    body = token.removesuffix(suffix) if token.endswith(suffix) else token
+    return [*body[:-1], body[-1:] + token[len(body) :]]
+
+
+def byte_of() -> dict[str, int]:
+    """The character that stands for each byte: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(plain)))}
+
+
+@functools.cache
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as ranks of byte strings in which MARK stands for the end of a word, if merging the pair of least rank
+    gives what the merges in their order give; None otherwise. That is so if token ids follow the merges and each token comes
+    out of its own characters with its own merge last: then no other pair that joins to the token is ever neighbours."""
+    with open(path) as f:
+        model = json.load(f)["model"]
+    suffix, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+    if model.get("type") != "BPE" or not suffix or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        return None
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    rank = {m: i for i, m in enumerate(merges)}
+    first = len(vocabulary) - len(merges)
+    byte = byte_of()
+    for i, (a, b) in enumerate(merges):
+        units = _units(a + b, suffix)
+        while len(units) > 2:
+            at = min(range(len(units) - 1), key=lambda k: rank.get((units[k], units[k + 1]), len(merges)))
+            if rank.get((units[at], units[at + 1]), len(merges)) >= i:
+                return None
+            pair = units[at], units[at + 1]
+            done, k = [], 0
+            while k < len(units):
+                both = k + 1 < len(units) and (units[k], units[k + 1]) == pair
+                done.append(pair[0] + pair[1] if both else units[k])
+                k += 1 + both
+            units = done
+        if tuple(units) != (a, b) or vocabulary.get(a + b) != first + i:
+            return None
+    single = [t for t, i in vocabulary.items() if i < first]
+    if sorted(t.removesuffix(suffix) if len(t) > 1 else t for t in single) != sorted([*byte, *byte]) or len(rank) != len(merges):
+        return None
+    return {bytes(byte[c] for c in (t.removesuffix(suffix) if len(t) > 1 else t)) + (MARK if len(t) > 1 and t.endswith(suffix) else b""): i for t, i in vocabulary.items()}
+
+
+class Pieces:
+    """Encodes texts by the distinct pieces between their ASCII white space, which the tokenizer drops and across which it joins
+    nothing. A word of letters and the marks that close it are two matches and so two pieces."""
+
+    def __init__(self, path: str, ranks: dict[bytes, int] | None):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Encodes words of letters that the tokenizer's normalising changes in ASCII capitals alone.
+        self.merger = tiktoken.Encoding("own", pat_str=f"[^{MARK.decode()}]+{MARK.decode()}", mergeable_ranks=ranks, special_tokens={}) if ranks else None
         vocabulary = self.tokenizer.get_vocab()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        #: Which ids end a match; none without a suffix for it, so that words() sends each word alone.
+        #: Which ids end a match.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        #: Added tokens are found in the raw text.
-        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def fold(self, piece: bytes) -> bytes:
-        """ASCII capitals are lower-cased by the tokenizer, except that an added token isn't one in capitals; texts with
-        other characters could compose differently."""
-        low = piece.lower()
-        return low if piece.isascii() and not any(t in low for t in self.added) else piece
-
-    def stem(self, piece: bytes) -> int:
-        """Length of the word before closing marks; 0 where the piece is to be taken whole."""
-        n = len(piece.rstrip(self.MARKS))
-        return n if 0 < n < len(piece) and piece[n - 1 : n].isalnum() else 0
-
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, which has letters only: one match, whose last id and no other ends a match. So all are encoded
-        as one text and cut there. Where normalising splits a word, the ends outnumber the words and each goes alone."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
-        ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-        if len(ends) != len(words):
-            return self.alone(words)
-        data = ids.tobytes()
-        return [data[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def alone(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in words], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in got]
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Encodes the pieces that aren't known yet."""
-        new = pieces.difference(self)
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = pieces
-        folded = {p: self.fold(p) for p in new}
-        cut = {p: n for p in folded.values() if (n := self.stem(p))}
-        whole = set(folded.values()).difference(cut).union(p[:n] for p, n in cut.items()).union(p[n:] for p, n in cut.items()).difference(self)
-        letters = [p for p in whole if p.decode("utf-8", "replace").isalpha() and b"\xef\xbf\xbd" not in p]
-        for words, encode in ((letters, self.words), (list(whole.difference(letters)), self.alone)):
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                self.update(zip(part, encode(part), strict=True))
-        self.update((p, self[p[:n]] + self[p[n:]]) for p, n in cut.items())
-        self.update((p, self[low]) for p, low in folded.items() if p != low)
+
+    def merged(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has: the words as lines of one text."""
+        size = ends - starts
+        lines = np.full(int((size + 1).sum()), MARK[0], np.uint8)
+        lines[ranges(np.cumsum(size + 1) - size - 1, size)] = data[ranges(starts, size)]
+        ids = np.array(self.merger.encode_ordinary(lines.tobytes().decode()), np.int64)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+
+    def alone(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library, a text a word."""
+        got = [e.ids for i in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in words[i : i + 20_000]], add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.int64), np.array(list(map(len, got)), np.int64)
+
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """The ids of each text with the end id."""
+        try:
+            b"".join(texts).decode()
+        except UnicodeDecodeError:
+            texts = [t.decode("utf-8", "replace").encode() for t in texts]
+        joined, last = b" ".join(texts), np.array([end], self.kind).tobytes()
+        data = np.frombuffer(joined, np.uint8)
+        text = np.zeros(len(data) + 2, bool)  # with white space before and after
+        text[1:-1] = ~_SPACE[data]
+        starts, ends = np.flatnonzero(text[1:] & ~text[:-1]), np.flatnonzero(~text[1:] & text[:-1])
+        if not len(starts):
+            return [last] * len(texts)
+        letters, marks = (np.append(0, np.cumsum(_CLASS[data] == k)) for k in (1, 2))
+        n = letters[ends] - letters[starts]
+        form = (n > 0) & (n + marks[ends] - marks[starts] == ends - starts) & (letters[starts + n] - letters[starts] == n) & (self.merger is not None)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[form]] += 1
+        inside[ends[form]] -= 1
+        data = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, _LOW[data], data)
+        closed = form & (n < ends - starts)
+        starts, stops, stem = np.append(starts, (starts + n)[closed]), np.append(np.where(form, starts + n, ends), ends[closed]), np.append(form, np.zeros(closed.sum(), bool))
+        order = np.argsort(starts, kind="stable")
+        starts, ends, stem = starts[order], stops[order], stem[order]
+        first, number, _ = distinct_words(data, starts, ends)
+        words, rest = first[stem[first]], first[~stem[first]]
+        values, size = self.merged(data, starts[words], ends[words]) if len(words) else (np.zeros(0, np.int64),) * 2
+        blob = data.tobytes()
+        more, size2 = self.alone([blob[s:e] for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
+        sizes = np.zeros(len(first), np.int64)
+        sizes[stem[first]], sizes[~stem[first]] = size, size2
+        source = np.zeros(len(first), np.int64)
+        source[stem[first]], source[~stem[first]] = np.cumsum(size) - size, np.cumsum(size2) - size2 + len(values)
+        values = np.concatenate([values, more]).astype(self.kind)
+        length, source = sizes[number], source[number]
+        border = np.append(0, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))).tolist()
+        return [values[ranges(source[s:e], length[s:e])].tobytes() + last for s, e in zip(border[:-1], border[1:], strict=True)]
 
 
 _pieces: dict[str, Pieces] = {}
 
 
-def pieces_of(path: str) -> Pieces:
+def pieces_of(path: str, ranks: dict[bytes, int] | None) -> Pieces:
     """The worker's own cache, which outlasts a task: this function is sent by name, while what a closure names is copied."""
-    return _pieces.get(path) or _pieces.setdefault(path, Pieces(path))
+    if path not in _pieces:
+        _pieces[path] = Pieces(path, ranks)
+    return _pieces[path]
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian, two bytes, or four for more than 65,536 ids; with the end id), n_tokens."""
-    session(docs)
+    sent = session(docs).sparkContext.broadcast(ranks_of(path))  # as long as the vocabulary
 
     def apply(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        pieces = pieces_of(path)
-        get, end = pieces.__getitem__, np.array([end_id], pieces.kind).tobytes()
+        pieces = pieces_of(path, sent.value)
+        width = np.dtype(pieces.kind).itemsize
         for b in batches:
-            split = [t.split() for t in b.column("text").to_pylist()]
-            pieces.learn(set().union(*split))
-            ids = [b"".join([*map(get, t), end]) for t in split]
-            width = len(end)
+            ids = pieces.encode(b.column("text").to_pylist(), end_id)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32())], ["doc_id", "ids", "n_tokens", "width"])
 
-    return text_bytes(docs, id_col, text_col).mapInArrow(apply, "doc_id long, ids binary, n_tokens long, width int")
+    return mapped(text_bytes(docs, id_col, text_col), apply, "doc_id long, ids binary, n_tokens long, width int")
 
 
 def _count(batches):
@@ -221,7 +283,7 @@ def _count(batches):
 def write(tokens: DataFrame, path: str, shard_ids: int = SHARD_IDS, block_ids: int = BLOCK_IDS) -> None:
     """tokens as tokenise() gives them, from a table. Writes path/code and path/blocks."""
     spark = session(tokens)
-    counts = tokens.select("ids", "width").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = mapped(tokens.select("ids", "width"), _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = counts["id"].to_numpy(), counts["n"].to_numpy()
     weight = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
     weight[ids] = n
@@ -257,7 +319,7 @@ def write(tokens: DataFrame, path: str, shard_ids: int = SHARD_IDS, block_ids: i
     shards = max(1, min(MAX_SHARDS, -(-int(n.sum()) // shard_ids)))
     dealt = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
     schema = "shard int, before long, n_ids long, stream binary, segments binary, doc_ids array<long>, doc_sizes array<long>"
-    dealt.mapInArrow(blocks, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    mapped(dealt, blocks, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read(spark, path: str) -> DataFrame:
@@ -283,7 +345,7 @@ def read(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["before"] + first[r["shard"]], pa.int64()), pa.array(r["doc_sizes"], pa.int64()), pa.array(own, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     session(blocks)
-    return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return mapped(blocks, decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
