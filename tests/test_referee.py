@@ -96,3 +96,41 @@ def test_series_in_zip_files(spark, tmp_path):
         z.writestr("readme.txt", "12,7,20200102,55,0\n")
     got = snapshot.read_series(spark, f"file://{tmp_path}/tx.zip", "2020-01-01", "2020-12-31").orderBy("date").collect()
     assert [(r.station_id, str(r.date), r.value) for r in got] == [("12", "2020-01-02", 5.5), ("12", "2020-01-05", -3.1)]
+
+
+def test_submissions_are_loaded_only_whole(spark, tmp_path):
+    manifest = {"submission_id": "2026-01-001", "author": {"github": "me"}, "track": "research", "rung": "A", "snapshot": {"version": "v1", "manifest_sha256": "a" * 64}, "claims": [{"model_version": "m", "band_key": "era5", "targets": ["tmax"], "zones": ["Cfb"]}], "method": {"package_version": "1"}, "claimed_report": "claimed.json", "tolerance": {"rmse_grid_c": 0.01}}
+    claimed = {"report_schema_version": 1, "model_version": "m", "band_key": "era5", "snapshot_version": "v1", "sample_requested": 0, "rows_sampled": 1, "rows_paired": 1, "fidelity_check": {"n": 0}, "by_target": []}
+
+    def load(m, c):
+        (tmp_path / "manifest.json").write_text(json.dumps(m))
+        (tmp_path / "claimed.json").write_text(json.dumps(c))
+        return report.load_submission(spark, f"file://{tmp_path}")
+
+    flat, document = load(manifest, claimed)
+    assert flat.first().github == "me" and document.first().report_id == "2026-01-001"
+    for m, c in ((manifest | {"rung": "Z"}, claimed), (manifest | {"tolerance": {"rmse_grid_c": 1.0}}, claimed), (manifest, {**claimed, "band_key": None})):
+        with pytest.raises(ValueError):
+            load(m, c)
+    paths = spark.createDataFrame([("submissions/2026-01/001-me-x/manifest.json",), ("submissions/2026-01/0011-me-x/manifest.json",), ("submissions/2026-01/010-me-x/manifest.json",)], "path string")
+    assert [r.path for r in report.find_manifest(paths, "2026-01-1").collect()] == ["submissions/2026-01/001-me-x/manifest.json"]
+
+
+def test_a_patch_needs_an_enabled_zone(spark):
+    schema = "target string, zone string, subzone string, enabled boolean, bias_correction double, scale double, offset double"
+    gate = spark.createDataFrame([("tmax", "Cfb", None, True, 0.1, None, None), ("tmax", "BSk", None, False, None, None, None)], schema)
+    patch = spark.createDataFrame([("tmax", "Cfb", "FR", 0.2, None, None)], "target string, zone string, subzone string, bias_correction double, scale double, offset double")
+    got = {(r.zone, r.subzone): r.bias_correction for r in gates.publish_subzone(gate, patch).collect()}
+    assert got == {("Cfb", None): 0.1, ("BSk", None): None, ("Cfb", "FR"): 0.2} and gates.gate_key("era5", "v") == "era5_v"
+    for g, p in ((gate.limit(0), patch), (gate, patch.limit(0)), (gate, patch.withColumn("zone", F.lit("BSk")))):
+        with pytest.raises(ValueError):
+            gates.publish_subzone(g, p)
+
+
+def test_unfinished_jobs_aren_t_complete(spark):
+    path = store.scratch(spark)
+    store.flush(spark.range(3), path, 0)
+    store.flush(spark.range(4), path, 0)
+    assert not store.is_complete(spark, path)
+    store.flush(spark.range(2), path, 1, complete=True)
+    assert store.is_complete(spark, path) and spark.read.parquet(path).count() == 6

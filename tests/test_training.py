@@ -105,3 +105,31 @@ def test_fetched_days_and_updates(spark):
     assert rows.merge_chunks(days.withColumn("chunk", F.lit(1)), "chunk").count() == 1
     table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     assert sorted(tuple(r) for r in rows.upsert(table, spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string"), ["id"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_a_bundle_comes_back_and_predicts(spark):
+    from thermaline.operators.quantiles import monotone
+    from thermaline.sources import models, store
+
+    x, y = data(200)
+    forest = train.Forest(x, y, trees=5)
+    bundle = models.Bundle("m1", {"tmax": forest}, {"tmax": x}, 0.5, [("tmax", "Cfb", True)], [("tmax", "_default", 1.0)])
+    path = store.scratch(spark)
+    models.save(spark, bundle, path)
+    again = models.load(spark, path)
+    rows_ = spark.createDataFrame([(i, v, i != 3) for i, v in enumerate(x[:10].tolist())], "id long, x array<double>, complete boolean")
+    got = monotone(models.raw_predictions(rows_, again, "tmax")).orderBy("id").collect()
+    assert [r.id for r in got] == [0, 1, 2, 4, 5, 6, 7, 8, 9] and all(r.distance == 0 for r in got)
+    assert [r.mid for r in got] == forest.predict(x[[0, 1, 2, 4, 5, 6, 7, 8, 9]])[:, 1].tolist()
+    assert models.gate_of(spark, again).first().passes and models.q95_of(spark, again).first().q95 == 1.0
+    models.save(spark, models.Bundle("m2", {}, {}, None, [], [], features=("a",)), path)
+    with pytest.raises(ValueError):
+        models.load(spark, path)
+
+
+def test_sweeps_score_both_targets(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "tmax" if i % 2 else "tmin", "Cfb", f"r{i % 3}", 0.0, 0.0, [rng.random(), rng.random()], rng.random()) for i in range(300)], "id long, target string, zone string, region string, lon double, lat double, x array<double>, y double")
+    got = train.sweep(df, 1, limit=2, trees=2).collect()
+    assert {(r.combo, r.target, r.whole) for r in got} == {(f"leaf{n}_featsqrt_depthNone", t, w) for n in (5, 20) for t in ("tmax", "tmin") for w in (True, False)}
+    assert all(r.n == 150 for r in got)

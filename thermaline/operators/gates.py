@@ -124,3 +124,19 @@ def publish(gate: DataFrame, current: DataFrame, allow_drops: bool = False) -> D
         raise ValueError("the new gate drops " + ", ".join(f"{r.target}/{r.zone}" for r in lost))
     cell = F.struct("zone", "enabled", "bias_correction", "scale", "offset", "spatial_skill")
     return gate.groupBy("target").agg(F.to_json(F.sort_array(F.collect_list(cell))).alias("document"))
+
+
+def gate_key(band: str, variant: str | None = None) -> str:
+    """Under which name a gate is published; a variant never shares the plain one's."""
+    return f"{band}_{variant}" if variant else band
+
+
+def publish_subzone(gate: DataFrame, patch: DataFrame) -> DataFrame:
+    """The published gate (target, zone, subzone, enabled and leaves; subzone null for a zone's own) with a patch in it; an error
+    without a gate, without leaves, or where a zone of the patch isn't enabled."""
+    if gate.isEmpty():
+        raise ValueError("there is no gate to patch")
+    wrong = patch_violations(patch, gate.where("subzone IS NULL")).take(5)
+    if wrong:
+        raise ValueError("; ".join(f"{r.target}/{r.zone}: {r.violation}" for r in wrong))
+    return merge_patch(gate, patch, ["target", "zone", "subzone"])

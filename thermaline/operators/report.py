@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import broken
@@ -87,6 +87,32 @@ def exactly_one(paths: DataFrame) -> str:
     return got[0].d
 
 
+def find_manifest(paths: DataFrame, submission_id: str) -> DataFrame:
+    """The manifests of a submission's folder: its month, and its number with three digits before a hyphen."""
+    month, number = submission_id.rsplit("-", 1)
+    return paths.where(F.col("path").rlike(rf"(^|/){month}/{int(number):03d}-[^/]+/manifest\.(yaml|json)$"))
+
+
+MANIFEST = "submission_id string, author struct<github:string>, track string, rung string, snapshot struct<version:string,manifest_sha256:string>, claims array<struct<model_version:string,band_key:string,targets:array<string>,zones:array<string>>>, method struct<package_version:string>, claimed_report string, tolerance map<string,double>"
+
+
+def load_submission(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The manifest (JSON) as one row, as manifest_violations() and cross_check() take it, and the claimed report's text; an
+    error where either breaks a rule."""
+    text = spark.read.text(f"{folder}/manifest.json", wholetext=True)
+    m = text.select(F.from_json("value", MANIFEST).alias("m")).select("m.*")
+    flat = m.select("submission_id", F.col("author.github").alias("github"), "track", "rung", F.col("snapshot.version").alias("snapshot_version"), F.col("snapshot.manifest_sha256").alias("manifest_sha256"), "claims", F.col("method.package_version").alias("package_version"), "claimed_report", "tolerance")
+    name = flat.first()
+    wrong = [r.violation for r in manifest_violations(flat).collect()]  # of one row
+    if wrong or name is None or not name.claimed_report:
+        raise ValueError(f"the manifest breaks: {wrong or ['claimed_report']}")
+    claimed = spark.read.text(f"{folder}/{name.claimed_report}", wholetext=True).select(F.lit(name.submission_id).alias("report_id"), F.col("value").alias("document"))
+    wrong = [r.violation for r in report_violations(claimed).collect()]  # of one row
+    if wrong:
+        raise ValueError(f"the claimed report breaks: {wrong}")
+    return flat, claimed
+
+
 def frozen(rows: DataFrame, predictions: DataFrame) -> DataFrame:
     """rows by target with delta and applied of their frozen prediction (station_id, date, target, delta_c, applied, ord);
     without one a row isn't applied."""

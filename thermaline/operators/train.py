@@ -218,7 +218,7 @@ def krige(place: np.ndarray, value: np.ndarray, at: np.ndarray, closest: int = C
     return out
 
 
-def _distances(x: np.ndarray, train: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def distances_to(x: np.ndarray, train: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Least weighted z-scored distance of each row to the training rows."""
     mean, std = train.mean(axis=0), train.std(axis=0)
     scale = np.sqrt(weights) / np.where(std > 0, std, 1.0)
@@ -269,7 +269,7 @@ def forest_cv(rows: DataFrame, combos: list[dict] | None = None, trees: int = 30
         c, (x, y), (at, _) = chosen[key[0]], _arrays(train), _arrays(test)
         forest = Forest(x, y, trees, c["min_samples_leaf"], c["max_features"], c["max_depth"])
         q = forest.predict(at)
-        return pd.DataFrame({"combo": key[0], "id": test["id"].to_numpy(), "lo": q[:, 0], "mid": q[:, 1], "hi": q[:, 2], "distance": _distances(at, x, forest.importances())})
+        return pd.DataFrame({"combo": key[0], "id": test["id"].to_numpy(), "lo": q[:, 0], "mid": q[:, 1], "hi": q[:, 2], "distance": distances_to(at, x, forest.importances())})
 
     tasks = rows.sparkSession.createDataFrame([(k,) for k in chosen], "combo string")
     return _folds(rows, tasks, cap, SEED).groupBy("combo", "fold").applyInPandas(fit, "combo string, id long, lo double, mid double, hi double, distance double")
@@ -394,3 +394,11 @@ def variants(rows: DataFrame) -> DataFrame:
     error = {"raw": F.col("e") - F.col("d"), "debiased": F.col("e") - F.col("d") - (F.col("me") - F.col("md")), "affine": F.col("e") - F.col("slope") * F.col("d") - (F.col("me") - F.col("slope") * F.col("md")), "grid_only": F.col("e") - F.col("me")}
     got = q.groupBy("zone").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse_grid"), *[F.struct(F.lit(k).alias("variant"), F.sqrt(F.avg(x * x)).alias("rmse"), F.avg(x).alias("bias")).alias(k) for k, x in error.items()])
     return got.select("zone", "rmse_grid", F.inline(F.array(*error))).withColumn("passes", (F.col("rmse_grid") - F.col("rmse")) / F.col("rmse_grid") >= 0.03)
+
+
+def sweep(rows: DataFrame, stage: int, limit: int | None = None, trees: int = 300, cap: int = CAP) -> DataFrame:
+    """Metrics of each combination of a stage (the first `limit` of them) on rows with id, target, zone, region, lon, lat, x, y;
+    ids are distinct over targets."""
+    chosen = combos(stage)[:limit]
+    parts = [forest_cv(rows.where(F.col("target") == t), chosen, trees, cap) for t in ("tmax", "tmin")]
+    return sweep_metrics(parts[0].unionByName(parts[1]).join(rows.select("id", "target", "zone", "y"), "id"))

@@ -336,6 +336,14 @@ def blend_argmin(spark, d):
     return _round(blend.best_combo(s), 4)
 
 
+@_query(f"""WITH {_NEAR}, c AS (SELECT l.k * 2 + x.k AS k, l.v AS len, x.v AS rad FROM (VALUES (0, 400.0), (1, 800.0)) AS l(k, v), (VALUES (0, 1000.0), (1, 2000.0)) AS x(k, v)), w AS (SELECT n.id, n.day, c.k, sum(exp(-1 * (km / len) ** 2)) AS wsum, sum(exp(-1 * (km / len) ** 2) * (a2 + 0.0065 * (e2 - elevation))) AS wa FROM n, c WHERE km <= rad GROUP BY ALL),
+b AS (SELECT r.id, r.zone AS grp, c.k * 2 + t.i AS combo, r.anomaly AS e, CASE WHEN r.id % 3 <> 0 THEN r.anomaly * 0.5 END AS dm, wa / wsum AS ds, CASE WHEN wsum IS NOT NULL THEN 1 - exp(-wsum / t.tau) ELSE 0 END AS lam FROM r CROSS JOIN c CROSS JOIN (VALUES (0, 0.5), (1, 2.0)) AS t(i, tau) LEFT JOIN w ON w.id = r.id AND w.day = r.day AND w.k = c.k),
+g AS (SELECT grp, combo, e - coalesce((1 - lam) * dm + lam * ds, ds, dm) AS x FROM b) SELECT grp, combo, round(sqrt(avg(x * x)), 5) AS rmse, count(*) AS n FROM g WHERE x IS NOT NULL GROUP BY ALL""")
+def blend_grid(spark, d):
+    r = _near(spark, d).selectExpr("*", "zone AS grp", "anomaly AS truth", "0D AS grid", "IF(id % 3 <> 0, anomaly * 0.5, NULL) AS delta_model")
+    return _round(blend.grid(r, [400.0, 800.0], [1000.0, 2000.0], [0.5, 2.0]), 5)
+
+
 # Logs: the events by user as cell, in order of event_id.
 def _log(spark, d):
     return _t(spark, d, "events").selectExpr("user_id AS cell", "event_id AS line", "date_format(ts, 'yyyy-MM-dd') AS cycle", "user_id % 3 + event_id % 2 AS submission", "IF(value > 20, 'win', 'loss') AS result", "CASE event_id % 3 WHEN 0 THEN 'tenure_start' WHEN 1 THEN 'tenure_end' ELSE 'note' END AS event", "event_type AS author", "CAST(event_id % 2 AS STRING) AS start_month", "ts")
@@ -375,6 +383,17 @@ def promotions(spark, d):
     return ledger.promotions(log.groupBy("cell").agg(last).select("cell", "c.*"), log.where("event = 'tenure_start'").groupBy("cell").agg(last).select("cell", "c.*"))
 
 
+@_query(f"""WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY cycle DESC, line DESC) AS k FROM l), f AS (SELECT cell, submission, author, result FROM r WHERE k = 1),
+b AS (SELECT r.cell, min(k) AS k FROM r JOIN f USING (cell) WHERE r.submission <> f.submission OR r.result <> 'win' GROUP BY r.cell), m AS (SELECT cell, count(*) AS n FROM l GROUP BY cell),
+h AS (SELECT cell, max_by(struct_pack(author, submission), line) AS h FROM l WHERE event = 'tenure_start' GROUP BY cell), j AS (SELECT f.cell AS cell, f.author AS a, f.submission AS s, h FROM f JOIN m USING (cell) LEFT JOIN b USING (cell) LEFT JOIN h ON h.cell = f.cell WHERE f.result = 'win' AND coalesce(b.k - 1, m.n) >= 2)
+SELECT cell, 'tenure_end' AS event, h.author AS author, h.submission AS submission FROM j WHERE h.author <> a UNION ALL SELECT cell, 'tenure_start', a, s FROM j WHERE h IS NULL OR h.submission <> s""")
+def promotions_by_streak(spark, d):
+    log = _log(spark, d)
+    newest = log.groupBy("cell").agg(F.max_by(F.struct("author", "result"), F.struct("cycle", "line")).alias("c")).select("cell", "c.*")
+    last = F.max_by(F.struct("author", "submission"), "line").alias("c")
+    return ledger.promotions(ledger.win_streak(log).join(newest, "cell"), log.where("event = 'tenure_start'").groupBy("cell").agg(last).select("cell", "c.*"))
+
+
 @_query(f"WITH {_LOG} SELECT author, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(line)) AS rank FROM l WHERE event = 'tenure_start' GROUP BY author")
 def leaderboard(spark, d):
     return ledger.leaderboard(_log(spark, d))

@@ -61,3 +61,20 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where("trim(text) <> ''")
     return lines.select("line", "text", F.from_json("text", schema).alias("v")).select("line", "text", "v.*")
+
+
+def flush(rows: DataFrame, path: str, batch: int, complete: bool = False) -> None:
+    """Writes a batch of an unfinished job under its number, again if it is tried again; the last one is marked complete."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    if complete:
+        _mark(rows.sparkSession, f"{path}/_complete")
+
+
+def _mark(spark: SparkSession, file: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True).close()
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_complete")
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
