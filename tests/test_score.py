@@ -78,3 +78,16 @@ def test_fidelity_drops_what_is_not_finite(spark):
     a = spark.createDataFrame([("a", "1", 1.0, 1.0), ("a", "2", float("nan"), 1.0), ("a", "3", 3.0, None)], s)
     assert tuple(score.fidelity(a, spark.createDataFrame([("a", "1", 0.0, 3.0), ("a", "2", 1.0, 1.0), ("a", "3", 1.0, 1.0)], s)).first()) == (1, 1.0, 0.0, -2.0, 0.0)
     assert score.fidelity(a.limit(0), a).first().n == 0
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"one": [3.0], "two": [1.0, 2.0], "ties": [1.0] * 300 + [5.0] * 20, "many": rng.exponential(size=5000).tolist(), "some": rng.normal(size=99).tolist(), "more": rng.normal(size=101).tolist()}
+    df = spark.createDataFrame([(k, v) for k, x in groups.items() for v in x], "zone string, s double")
+    got = {r.zone: (r.n, r.q) for r in score._quantile(df, 0.95).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in groups.items()}
+    assert all(abs(got[k][1] - np.quantile(v, 0.95)) < 1e-12 for k, v in groups.items())
+    none = spark.createDataFrame([], "zone string, y double, pred double, lo double, hi double")
+    assert [tuple(r) for r in score.conformal_q95(none).collect()] == [("_default", 1.0)]
