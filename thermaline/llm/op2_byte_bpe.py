@@ -290,9 +290,10 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     def apply(batches):
         for b in batches:
             out = [_bytes_of(np.frombuffer(data or b"", "<u4"), *sent.value) for data in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.binary())], ["row", "decoded"])
 
-    return mapped(tokens, apply, StructType([*tokens.schema.fields, StructField("decoded", BinaryType())]))
+    rows = tokens.select("ids", F.struct("*").alias("row"))
+    return mapped(rows, apply, StructType([rows.schema["row"], StructField("decoded", BinaryType())])).select("row.*", "decoded")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ folder holds the code lengths, from which the canonical code follows. Any block
 block advance together, one table look-up each.
 
 Defined cases: a null text is empty and gives the end id alone; null doc_ids sort first; repeated doc_ids are further
-documents, in no fixed order among themselves; an empty table gives no blocks; other columns are ignored.
+documents, in the order of their ids' bytes; an empty table gives no blocks; other columns are ignored; a very long text is a
+block of its own, held in one task.
 """
 
 from __future__ import annotations
@@ -317,7 +318,7 @@ def write(tokens: DataFrame, path: str, shard_ids: int = SHARD_IDS, block_ids: i
             yield emit()
 
     shards = max(1, min(MAX_SHARDS, -(-int(n.sum()) // shard_ids)))
-    dealt = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    dealt = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     schema = "shard int, before long, n_ids long, stream binary, segments binary, doc_ids array<long>, doc_sizes array<long>"
     mapped(dealt, blocks, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
