@@ -8,16 +8,19 @@ hash classes, for which the prefix is extended by one token a class; sets that m
 tokens at most) keep it singly, and sets that one token more would take too far are linked with equal sets alone. Classes
 grow with the size of a set, so that pairs stay in proportion to it.
 
-Equal sets are one node from the start. Index buckets of up to SMALL nodes give their pairs, which first have to pass on
-the prefixes alone: a prefix holds all of its set's tokens up to its last one, so what is missing on either side there is a
-lower bound of the difference. What passes is verified on the whole sets. Larger buckets come from families of near copies
-and from passages that many texts share; nodes that such buckets tie together form a group, whose sets meet once in one
-task that joins them by an inverted index and returns a forest of links, never their pairs. Groups over MAX_GROUP nodes are
-not collected; their buckets go the way of the small ones. Components come from components.py.
+Equal sets are one node from the start. Nodes that share a signature form a bucket; buckets with the same nodes count once.
+Inside a bucket no pairs are listed: each node names its nearest NEAREST[0] partners of another component, judged by parity
+sketches (bit b of a sketch is the parity of the set's tokens in slot b, so that two sketches differ in no more bits than
+the sets differ in tokens; what differs in too many bits can't link). Named pairs are verified on the whole sets, links
+become components (components.py), and buckets in which a node had more candidates than it could name go another round
+with more names and the new components, until nothing is left unsaid. Pairs within a component are never looked at again,
+so a family of near copies costs some names a copy, not its square. Buckets of more than max_group nodes are compared in
+blocks of that many, dealt over tasks.
 
 Defined cases: null or empty texts have no shingles and are linked with nothing; texts of fewer words than a shingle have
 one, the whole sequence; rows with a null doc_id are not linked and have a null component; rows with one doc_id are
-separate texts; an empty table gives no rows; other columns are ignored.
+separate texts; an empty table gives no rows; other columns are ignored. A very long text is one set, held in one task.
+dedup() keeps, of each component, one row with the smallest doc_id, and all rows without a doc_id.
 """
 
 from __future__ import annotations
@@ -31,15 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX1, MIX2, materialise, mix64, ranges, session, table, union
+from .common import LOWER, MIX1, MIX2, mapped, materialise, measured, mix64, session, table, union
 from .components import components
 
 SHINGLE, PERCENT = 3, 90
 TOP_WORDS = 1 << 16
 FREQUENT = 8
-#: Nodes in a bucket whose pairs are listed, and nodes of a group that is collected (some 100 MB of tokens).
-SMALL = 16
-MAX_GROUP = 30_000
+#: Partners that a node may name in each round; then all that are left.
+NEAREST = (3, 48)
+#: Nodes of a bucket that are compared at once; larger buckets are split into blocks.
+MAX_GROUP = 4096
+#: Dropped rows of dedup() that are sent to all executors (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 BITMAP_BITS = 1 << 27
 
 
@@ -63,7 +69,7 @@ def _word_counts(batches):
 
 def word_levels(base: DataFrame) -> tuple[dict[bytes, int], int]:
     """Levels (8 times the binary logarithm of the count) of the most frequent words, and the number of all words."""
-    counts = base.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = mapped(base.select("text"), _word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS + 1).toArrow()
     found = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     words = found.pop(b"", 0) or 1
@@ -133,32 +139,141 @@ class Shingler:
             classes *= 2
         return prefix, np.unique(np.concatenate(out))
 
+    def sketch(self, tokens: np.ndarray) -> bytes:
+        """Parities of the tokens in slots, at least half as many as tokens at 90 %, as many at 80 %."""
+        bits = 1 << max(6, ((len(tokens) * min(100, 5 * (100 - self.percent)) - 1) // 100).bit_length())
+        return np.packbits(np.bincount((tokens[:, 1] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
     def classes(self, n: int) -> int:
         """A power of two near half the prefix, or less where partners may share fewer tokens; a set is indexed by those of
         all sizes that its partners may have, so that two partners have one in common."""
         return 1 << max(0, (n * min(100 - self.percent, self.percent) // 400).bit_length() - 1) if n else 1
 
 
-def _long(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def _prepare(base: DataFrame, sent) -> DataFrame:
     def apply(batches):
         shingler = sent.value
         for b in batches:
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc, key, text in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 tokens = shingler.tokens(text)
-                if not len(tokens):
-                    rows.append((doc, 0, None, [], []))
-                    continue
-                prefix, index = shingler.signatures(np.ascontiguousarray(tokens[:, 0]))
-                rows.append((doc, len(tokens), shingler.node(tokens), _long(prefix), None if index is prefix else _long(index)))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n", "node", "prefix", "index"])
+                if len(tokens):
+                    rows.append((doc, key, len(tokens), shingler.node(tokens), shingler.sketch(tokens), shingler.signatures(np.ascontiguousarray(tokens[:, 0]))[1].view(np.int64)))
+                else:
+                    rows.append((doc, key, 0, None, None, []))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "key", "n", "node", "sketch", "sigs"])
+
+    return mapped(base, apply, "doc_id long, key long, n long, node binary, sketch binary, sigs array<long>")
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """sig, node, first, n, sketch, size of buckets with two nodes or more; of buckets with the same nodes one is left."""
+    entry = nodes.select("node", F.explode("sigs").alias("sig")).withColumns({"h": F.xxhash64("node"), "g": F.xxhash64("node", F.lit(1))})
+    over = "OVER (PARTITION BY sig)"
+    entry = entry.selectExpr("sig", "node", f"count(*) {over} AS size", f"min(node) {over} AS least", f"bit_xor(h) {over} AS h", f"bit_xor(g) {over} AS g")
+    entry = materialise(entry.where("size > 1"))
+    kept = entry.where("node = least").groupBy("size", "h", "g").agg(F.min("sig").alias("sig")).select("sig")
+    return entry.join(kept, "sig", "left_semi").select("sig", "node", "size").join(nodes.select("node", "first", "n", "sketch"), "node")
+
+
+def _fold(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of fewer slots: the parities of slots that fall together are added."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+class Bucket:
+    """Nodes that share a signature. side: pairs are looked for between sides only, if there are two."""
+
+    def __init__(self, n: list[int], label: list[bytes], sketch: list[bytes], side: list[int], percent: int):
+        number: dict[bytes, int] = {}
+        self.n, self.side, self.percent = np.array(n, np.int64), np.array(side, np.int64), percent
+        self.label = np.array([number.setdefault(x, len(number)) for x in label], np.int64)
+        self.two = len(np.unique(self.side)) > 1
+        size = np.array([len(x) // 8 for x in sketch])
+        self.rows = {w: np.flatnonzero(size == w) for w in np.unique(size).tolist()}
+        self.sketch = {w: np.frombuffer(b"".join(sketch[i] for i in own.tolist()), "<u8").reshape(len(own), w) for w, own in self.rows.items()}
+
+    def nearest(self, k: int):
+        """(i, j, more) in turns: pairs of nodes that could link and aren't of one label, the k nearest of each i at most (all
+        where k is 0), and whether some i had more."""
+        if self.label.max(initial=0) == 0:
+            return
+        for w, own in self.rows.items():
+            step = max(1, (1 << 21) // (len(self.n) * w))
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                found = [self.between(w, slice(at, at + step), part, v) for v in self.rows]
+                i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((j, d, i))
+                i, j = i[order], j[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                near = rank < k if k else np.ones(len(i), bool)
+                yield part[i[near]], j[near], not near.all()
+
+    def between(self, w: int, at: slice, part: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of part, nodes of sketches of v words, and in how many bits they differ, where they could link."""
+        other, words = self.rows[v], min(v, w)
+        a, b = self.n[part], self.n[other]
+        if 100 * a.max() < self.percent * b.min() or 100 * b.max() < self.percent * a.min():
+            return (np.zeros(0, np.int64),) * 3
+        one, two = _fold(self.sketch[w][at], words), _fold(self.sketch[v], words)
+        differ = np.zeros((len(part), len(other)), np.int32)
+        for c in range(words):
+            differ += np.bitwise_count(one[:, c, None] ^ two[None, :, c])
+        allowed = (100 - self.percent) * (a[:, None] + b[None, :])
+        fits = ((100 + self.percent) * np.maximum(differ, np.abs(a[:, None] - b[None, :])) <= allowed) & (self.label[part][:, None] != self.label[other][None, :])
+        if self.two:
+            fits &= self.side[part][:, None] != self.side[other][None, :]
+        i, j = np.nonzero(fits)
+        return i, other[j], differ[i, j]
+
+
+_COLUMNS = ("sig", "block", "side", "node", "first", "label", "n", "sketch")
+
+
+def _name(percent: int, k: int):
+    """Rows sorted by sig and block -> u, v of named pairs; a row of sig alone for a bucket with more to say."""
+
+    kinds = {"u": pa.binary(), "v": pa.binary(), "sig": pa.int64(), "first_u": pa.int64(), "first_v": pa.int64()}
+
+    def pairs(rows: pa.Table):
+        node, first = rows.column("node").to_pylist(), rows.column("first").to_pylist()
+        bucket = Bucket(rows.column("n").to_pylist(), rows.column("label").to_pylist(), rows.column("sketch").to_pylist(), rows.column("side").to_pylist(), percent)
+        unsaid = False
+        for i, j, more in bucket.nearest(k):
+            unsaid |= more
+            both = list(dict.fromkeys((x, y) if node[x] < node[y] else (y, x) for x, y in zip(i.tolist(), j.tolist(), strict=True)))
+            columns = ([node[x] for x, _ in both], [node[y] for _, y in both], [None] * len(both), [first[x] for x, _ in both], [first[y] for _, y in both])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+        if unsaid:
+            sig = rows.column("sig")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([sig if c == "sig" else None], t) for c, t in kinds.items()], list(kinds))
+
+    def apply(batches):
+        rest = None
+        for b in batches:
+            now = pa.Table.from_batches([b.select(list(_COLUMNS))])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            sig, block = rest.column("sig").to_numpy(), rest.column("block").to_numpy()
+            borders = [0, *(np.flatnonzero((sig[1:] != sig[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
+            for s, e in zip(borders, borders[1:], strict=False):
+                yield from pairs(rest.slice(s, e - s))
+            rest = rest.slice(borders[-1])
+        if rest is not None and len(rest):
+            yield from pairs(rest)
+
+    return apply
 
-    return base.mapInArrow(apply, "doc_id long, n long, node binary, prefix array<long>, index array<long>")
+
+def _blocks(buckets: DataFrame, max_group: int) -> DataFrame:
+    """buckets with block and side: a large bucket is cut in parts of max_group nodes, and each two parts meet in a block."""
+    cut = buckets.withColumn("parts", F.ceil(F.col("size") / max_group).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
+    block = "IF(parts = 1, array(named_struct('block', 0L, 'side', 0)), transform(sequence(0, parts - 1), x -> named_struct('block', cast(least(own, x) AS bigint) * parts + greatest(own, x), 'side', IF(own <= x, 0, 1))))"
+    return cut.withColumn("at", F.explode(F.expr(block))).select("sig", "at.block", "at.side", "node", "first", "label", "n", "sketch")
 
 
 def _slots(docs: pa.Array) -> np.ndarray:
@@ -167,14 +282,14 @@ def _slots(docs: pa.Array) -> np.ndarray:
 
 def _bits(batches):
     for b in batches:
-        slots = _slots(b.column("first"))
+        slots = np.concatenate([_slots(b.column(c)) for c in ("first_u", "first_v")])
         yield pa.RecordBatch.from_arrays([pa.array(slots >> 6), pa.array(np.left_shift(1, slots & 63))], ["w", "b"])
 
 
-def _sets(base: DataFrame, wanted: DataFrame, sent) -> DataFrame:
-    """node, tokens of the wanted nodes, from the document that each is named after (first). A bitmap of fixed size over
-    doc_ids spares the other documents; what it lets through is joined away."""
-    bits = wanted.mapInArrow(_bits, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+def _sets(base: DataFrame, pairs: DataFrame, sent) -> DataFrame:
+    """node, tokens of the pairs' nodes, from the document that each is named after. A bitmap of fixed size over doc_ids
+    spares the other documents; what it lets through beyond is joined with nothing."""
+    bits = mapped(pairs.select("first_u", "first_v"), _bits, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
     bitmap[bits["w"].to_numpy()] = bits["b"].to_numpy()
     known = base.sparkSession.sparkContext.broadcast(bitmap)
@@ -190,15 +305,7 @@ def _sets(base: DataFrame, wanted: DataFrame, sent) -> DataFrame:
                     rows.append((shingler.node(tokens), np.sort(tokens[:, 1]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], ["node", "tokens"])
 
-    found = base.mapInArrow(apply, "node binary, tokens binary")
-    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
-
-def _could_link(percent: int) -> str:
-    """On a and b with n and prefix: what one prefix lacks of the other, up to where both reach, and the sizes allow a link."""
-    reach = "least(element_at(a.prefix, -1), element_at(b.prefix, -1))"
-    lacks = lambda x, y: f"size(array_except(filter({x}.prefix, t -> t <= {reach}), {y}.prefix))"
-    return f"{100 - percent} * (a.n + b.n) >= {100 + percent} * greatest(abs(a.n - b.n), {lacks('a', 'b')} + {lacks('b', 'a')})"
+    return mapped(base, apply, "node binary, tokens binary").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,93 +322,69 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     x, y = sets.select(F.col("node").alias("u"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
-    return pairs.join(x, "u").join(y, "v").mapInArrow(apply, "u binary, v binary")
-
-
-def group_links(tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A forest over the sets whose trees are the components of their links."""
-    order = np.argsort([len(t) for t in tokens], kind="stable")
-    sizes = np.array([len(tokens[i]) for i in order], np.int64)
-    flat = np.concatenate([tokens[i] for i in order])
-    _, flat, times = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    shared = times[flat] > 1
-    by = np.argsort(flat[shared], kind="stable")
-    posting, first = owner[shared][by], np.append(0, np.cumsum(np.bincount(flat[shared], minlength=len(times))))
-    ends = np.cumsum(sizes)
-    root, out = np.arange(len(sizes)), []
-    for x in range(1, len(sizes)):
-        own = flat[ends[x] - sizes[x] : ends[x]]
-        own = own[times[own] > 1]
-        both = np.bincount(posting[ranges(first[own], first[own + 1] - first[own])], minlength=len(sizes))[:x]
-        for y in np.flatnonzero((100 * both >= percent * (sizes[x] + sizes[:x] - both)) & (root[:x] != root[x])).tolist():
-            if root[y] != root[x]:
-                out.append((int(order[x]), int(order[y])))
-                root[root == root[y]] = root[x]
-    return out
+    return mapped(pairs.join(x, "u").join(y, "v"), apply, "u binary, v binary")
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
+def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, max_group: int) -> DataFrame:
+    """doc_id, key (a hash of the text), n_shingles, component_id, component of each row."""
     spark = session(docs)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
     levels, words = word_levels(base)
     sent = spark.sparkContext.broadcast(Shingler(levels, words, shingle, percent))
     prepared = materialise(_prepare(base, sent))
     linkable = prepared.where("doc_id IS NOT NULL AND n > 0")
-    nodes = materialise(linkable.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("index").alias("index")))
-    entry = nodes.select("node", F.posexplode(F.coalesce("index", "prefix")).alias("pos", "sig")).withColumn("size", F.expr("count(*) OVER (PARTITION BY sig)"))
-    buckets = materialise(entry.where("size > 1"))
-
-    # Large buckets: groups, each node in one.
-    large = buckets.where(f"size > {SMALL}")
-    ties = large.withColumn("first", F.expr("min(node) OVER (PARTITION BY sig)")).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    group = components(ties).select("node", F.col("label").alias("group"))
-    group = materialise(group.withColumn("members", F.expr("count(*) OVER (PARTITION BY group)")))
-    huge = group.where(f"members > {max_group}").select("node")
-    group = group.where(f"members <= {max_group}").select("node", "group")
-
-    # The other buckets: pairs, pruned on what the buckets tell, then on the prefixes.
-    listed = buckets.where(f"size <= {SMALL}").unionByName(large.join(huge, "node", "left_semi")).select("sig", "node", "pos")
-    apart = large.join(huge, "node", "left_anti").groupBy("node").agg(F.count("*").alias("apart"))
-    plain = nodes.select("node", "n", F.when(F.col("index").isNull(), F.size("prefix")).alias("p")).join(listed.select("node").distinct(), "node")
-    listed = listed.join(plain.join(apart, "node", "left").select("node", "n", "p", F.coalesce("apart", F.lit(0)).alias("apart")), "node")
-    a, b = listed.alias("a"), listed.alias("b")
-    met = a.join(b, F.expr(f"a.sig = b.sig AND a.node < b.node AND {100 - percent} * (a.n + b.n) >= {100 + percent} * abs(a.n - b.n)"))
-    facts = [F.max(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("pos", "n", "p", "apart")]
-    met = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("c"), *facts)
-    # Shared prefix tokens are c and at most those in buckets apart. All tokens up to the last shared one, and all of the
-    # prefix that ends first, are known on both sides; p is null where sets are indexed by pairs.
-    shared = "(c + least(apart_a, apart_b))"
-    lacks = f"least(p_a + pos_b, p_b + pos_a) + 1 - 2 * {shared}"
-    pairs = met.where(f"p_a IS NULL OR p_b IS NULL OR {100 - percent} * (n_a + n_b) >= {100 + percent} * ({lacks})").select("u", "v")
-    a, b = (nodes.select("node", "n", "prefix").alias(x) for x in "ab")
-    pairs = materialise(pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(_could_link(percent)).select("u", "v"))
-
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(group.select("node")).distinct().join(nodes.select("node", "first"), "node")
-    sets = materialise(_sets(base, materialise(wanted), sent))
-
-    def join_group(key, members):
-        node = members.column("node").to_pylist()
-        found = group_links([np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()], percent)
-        return pa.table({"u": pa.array([node[x] for x, _ in found], pa.binary()), "v": pa.array([node[y] for _, y in found], pa.binary())})
-
-    in_groups = group.join(sets, "node").groupBy("group").applyInArrow(join_group, "u binary, v binary")
-    labels = components(_verify(pairs, sets, percent).unionByName(in_groups))
-
-    named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    found = named.join(least, "label").select("node", "component_id")
-    linked = linkable.join(found, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = prepared.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    nodes = materialise(linkable.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "sketch", "sigs")]))
+    buckets = materialise(_buckets(nodes))
+
+    labels = links = tested = known = None
+    for k in (*NEAREST, 0):
+        told = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = _blocks(told, max_group).repartition("sig", "block").sortWithinPartitions("sig", "block")
+        named, said = measured(mapped(rows, _name(percent, k), "u binary, v binary, sig long, first_u long, first_v long"), more=F.count("sig"))
+        pairs = named.where("u IS NOT NULL").select("u", "v", "first_u", "first_v").dropDuplicates(["u", "v"])
+        pairs, new = measured(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        if new["rows"]:
+            sets = materialise(_sets(base.select("doc_id", "text"), pairs, sent))
+            known = sets if known is None else union(known, sets.join(known.select("node"), "node", "left_anti"))
+            found = materialise(_verify(pairs.select("u", "v"), known, percent))
+            links, tested = (found, pairs) if links is None else (union(links, found), union(tested, pairs))
+            labels = components(links)
+        if not said["more"]:
+            break
+        buckets = materialise(buckets.join(named.where("sig IS NOT NULL").select("sig").distinct(), "sig", "left_semi"))
+    labels = nodes.select("node", F.col("node").alias("label")).limit(0) if labels is None else labels
+
+    in_class = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = in_class.groupBy("label").agg(F.min("first").alias("component_id"))
+    found = in_class.join(least, "label").select("node", "component_id", "label")
+    linked = linkable.join(found, "node").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", F.col("label").alias("component"))
+    alone = prepared.where("doc_id IS NULL OR n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
     return union(linked, alone)
 
 
-def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id, with the columns of docs."""
-    gone = join(docs, shingle, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
+    return _classes(docs, shingle, percent, id_col, text_col, max_group).select("doc_id", "n_shingles", "component_id")
+
+
+def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with the columns of docs. Rows are told apart by doc_id and text: of a component the row
+    with the least of both stays, and repeated rows stay once."""
+    rows = materialise(_classes(docs, shingle, percent, id_col, text_col, MAX_GROUP).where("component IS NOT NULL").groupBy("component", "component_id", "doc_id", "key").agg(F.count("*").alias("times")))
+    best = rows.where("doc_id = component_id").groupBy("component").agg(F.min("key").alias("best"), F.count("*").alias("rivals"))
+    tied = best.where("rivals > 1").select("component", "best")
+    gone = rows.join(tied, "component", "left").where("doc_id <> component_id OR key <> best")
+    gone = materialise(gone.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    mine = lambda x: (docs[id_col].cast("long") == x["_doc"]) & (F.xxhash64(text) == x["_key"])
+    stay = docs.join(gone, mine(gone), "left_anti")
+    twice = rows.where("times > 1 AND doc_id = component_id").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
+    if twice.isEmpty():
+        return stay
+    once = stay.join(twice, mine(twice), "left_semi").select(F.struct("*").alias("row"), docs[id_col].alias("doc"), F.xxhash64(text).alias("key")).dropDuplicates(["doc", "key"]).select("row.*")
+    return union(stay.join(twice, mine(twice), "left_anti"), once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
