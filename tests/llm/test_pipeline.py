@@ -29,3 +29,24 @@ def test_stages(spark):
         else:
             path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
             assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in docs.collect()} == op2_byte_bpe.brute(list(before.items()), path, public_tokenizers.PATTERN)
+
+
+def test_stages_at_the_edges(spark, odd):
+    """Nulls, empty and repeated rows, clashing and dotted names, and no rows at all."""
+    prose = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").limit(40)
+    rest = [odd[c] for c in odd.columns if c not in ("doc_id", "text", "lang")]
+    some = prose.unionByName(prose.limit(3)).select(prose["doc_id"] + 1000, "text", "lang").toDF("doc_id", "text", "lang")
+    docs = common.union(odd, some.crossJoin(odd.select(*rest).limit(1)).select(*odd.columns)).withColumn("a.b", odd["doc_id"]).withColumn("my col", odd["lang"])
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            before = sorted((r.doc_id, r.text) for r in now.where("doc_id IS NOT NULL AND text IS NOT NULL").collect())
+            now = common.materialise(stage(spark, now, DATA))
+            if name == "byte_bpe":
+                assert sorted(r.doc_id for r in now.where("doc_id IS NOT NULL").collect()) == [d for d, _ in before]
+                continue
+            assert now.columns == docs.columns
+            after = [(r.doc_id, r.text) for r in now.where("doc_id IS NOT NULL").collect()]
+            assert set(after) <= set(before) and (name == "language_id" or len(after) == len(set(after)))
+        if start is docs:
+            assert len(before) > 30
