@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage works on what the one before it kept."""
+"""The corpus pipeline: each stage works on what the one before it kept.
+
+Defined cases, in every stage: the columns of docs are kept whatever their names, but for doc_id and text they aren't read
+(source is evidence of language, lang labels its training sample); an empty table gives an empty table. A null text is an empty
+one and has no accepted language, so it goes with the first stage. Rows without a doc_id are kept by the first stage and the
+fourth; of equal texts they lose against rows with one, and they are linked with nothing. Repeated rows stay once from the second
+stage on. A very long text is one row of every stage, read in pieces or held whole by one task.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = op2_byte_bpe.decode(op2_byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = op2_byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return coded.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256", "ids")
 
 
