@@ -38,14 +38,14 @@ def snap(spark, d) -> DataFrame:
 
 
 SNAP_SQL = cte("snap", BOTH, SNAP, ON)
-_OUT = "station_id, date, band, round(station_tmax_c, 6) AS station_tmax_c, round(grid_tmin_c, 6) AS grid_tmin_c, climate_zone"
+_OUT = "station_id, date, band, round(station_tmax_c, 8) AS station_tmax_c, round(grid_tmin_c, 8) AS grid_tmin_c, climate_zone"
 
 
 @_query(f"WITH {SNAP_SQL} SELECT {_OUT} FROM snap WHERE band = 'era5' AND strftime(date, '%Y-%m') IN ('1995-03', '1996-07', '2050-01')")
 def snapshot_rows(spark, d):
     path = store.scratch(spark)
     snapshot.write_rows(snap(spark, d), path)
-    return _round(snapshot.read_rows(spark, path, "era5", ["1995-03", "1996-07", "2050-01"]).select("station_id", "date", "band", "station_tmax_c", "grid_tmin_c", "climate_zone"))
+    return _round(snapshot.read_rows(spark, path, "era5", ["1995-03", "1996-07", "2050-01"]).select("station_id", "date", "band", "station_tmax_c", "grid_tmin_c", "climate_zone"), 8)
 
 
 @_query(f"WITH {SNAP_SQL} SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM snap WHERE band = 'lag_fill'")
@@ -111,20 +111,20 @@ def snapshot_sample(spark, d):
     return spark.read.option("header", True).csv(f"{path}/sample").select("station_id", "band", "date", "climate_zone")
 
 
-@_query(f"WITH {SNAP_SQL} SELECT station_id, CAST(date AS STRING) AS date, 'lag_fill' AS band, round(grid_tmax_c, 4) AS grid_tmax_c FROM snap WHERE ord % 5 = 0")
+@_query(f"WITH {SNAP_SQL} SELECT station_id, CAST(date AS STRING) AS date, 'lag_fill' AS band, round(grid_tmax_c, 7) AS grid_tmax_c FROM snap WHERE ord % 5 = 0")
 def row_dumps(spark, d):
     path = store.scratch(spark)
-    rows = snap(spark, d).where("ord % 5 = 0").select("station_id", "date", F.round("grid_tmax_c", 4).alias("grid_tmax_c"), F.pmod("ord", F.lit(16)).alias("file"))
+    rows = snap(spark, d).where("ord % 5 = 0").select("station_id", "date", F.round("grid_tmax_c", 7).alias("grid_tmax_c"), F.pmod("ord", F.lit(16)).alias("file"))
     listed = rows.groupBy("file").agg(F.collect_list(F.struct("station_id", "date", "grid_tmax_c")).alias("rows"))
     text = F.when(F.col("file") % 2 == 0, F.to_json("rows")).otherwise(F.to_json(F.struct("rows")))
     listed.repartition(32, "file").select(text.alias("value"), "file").write.partitionBy("file").text(f"{path}/dumps")
     return snapshot.read_dump(spark, f"{path}/dumps/*/*.txt", "station_id string, date string, grid_tmax_c double", "lag_fill").select("station_id", "date", "band", "grid_tmax_c")
 
 
-@_query(f"WITH {SNAP_SQL} SELECT station_id, CAST(date AS STRING) AS date, round(grid_tmax_c, 4) AS grid_tmax_c FROM snap")
+@_query(f"WITH {SNAP_SQL} SELECT station_id, CAST(date AS STRING) AS date, round(grid_tmax_c, 7) AS grid_tmax_c FROM snap")
 def export_parts(spark, d):
     path = store.scratch(spark)
-    snap(spark, d).select("station_id", "date", F.round("grid_tmax_c", 4).alias("grid_tmax_c")).select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "gzip").text(f"{path}/text")
+    snap(spark, d).select("station_id", "date", F.round("grid_tmax_c", 7).alias("grid_tmax_c")).select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "gzip").text(f"{path}/text")
     for f in spark.read.format("binaryFile").load(f"{path}/text/*.gz").select("path").collect():  # a row a part
         store.rename(spark, f.path, f.path.replace("/text/", "/export/").removesuffix(".txt.gz") + ".jsonl.gz")
     return snapshot.read_export(spark, f"{path}/export", "station_id string, date string, grid_tmax_c double")

@@ -99,9 +99,9 @@ def fetched_rows(spark, d):
     return got.select("id", "grid_tmax_c", "grid_specific_humidity_kgkg", "nighttime_wind_ms", "humidity_source", "wind_source", "band")
 
 
-@_query(f"WITH {cte('x', ['orders'], _EXPORT)} SELECT id, 'era5' AS band, 'era5_land_cds' AS base_source, CAST(NULL AS STRING) AS base_model, round(grid_tmin_c, 6) AS grid_tmin_c FROM x")
+@_query(f"WITH {cte('x', ['orders'], _EXPORT)} SELECT id, 'era5' AS band, 'era5_land_cds' AS base_source, CAST(NULL AS STRING) AS base_model, round(grid_tmin_c, 8) AS grid_tmin_c FROM x")
 def reference_band(spark, d):
-    return _round(rows.reference_band(_export(spark, d), "v1").select("id", "band", "base_source", "base_model", "grid_tmin_c"))
+    return _round(rows.reference_band(_export(spark, d), "v1").select("id", "band", "base_source", "base_model", "grid_tmin_c"), 8)
 
 
 @_query(f"WITH {_FETCHED} SELECT id, tmin AS grid_tmin_c, q AS grid_specific_humidity_kgkg, w AS nighttime_wind_ms FROM f")
