@@ -68,12 +68,20 @@ def _word_counts(batches):
 
 
 def word_levels(base: DataFrame) -> tuple[dict[bytes, int], int]:
-    """Levels (8 times the binary logarithm of the count) of the most frequent words, and the number of all words."""
-    counts = mapped(base.select("text"), _word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS + 1).toArrow()
-    found = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    words = found.pop(b"", 0) or 1
-    return {w: int(8 * math.log2(n)) for w, n in found.items()}, words
+    """Levels (8 times the binary logarithm of the count) of the most frequent words, and the number of all words. What is taken
+    is all words of the highest levels, as many levels as hold TOP_WORDS words at most: no ranking in one task."""
+    counts = materialise(mapped(base.select("text"), _word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = counts.where(F.octet_length("word") > 0)
+    level = F.floor(8 * F.log2("n"))
+    cut, held = 1 << 20, 0
+    for r in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a row for each level, some hundred
+        held += r["count"]
+        if held > TOP_WORDS:
+            break
+        cut = r.level
+    top = words.where(level >= cut).toArrow()
+    total = counts.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0]
+    return {w: int(8 * math.log2(n)) for w, n in sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))}, total or 1
 
 
 class Shingler:
