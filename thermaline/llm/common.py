@@ -165,13 +165,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 _BYTE = np.random.default_rng(2).integers(1, 1 << 63, (3, 256), dtype=np.uint64) | np.uint64(1)
 _INVERSE = np.uint64(pow(int(MIX2), -1, 1 << 64))
-#: Bytes of texts whose powers a worker keeps.
-_USUAL = 5 << 20
+#: Bytes whose words are hashed at once, and those whose powers a worker keeps.
+_PIECE = 1 << 18
+_USUAL = 2 * _PIECE
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of MIX2 and of its inverse, kept by the worker for blocks of usual length."""
+    """Powers of MIX2 and of its inverse, kept by the worker for pieces of usual length."""
     if len(_powers[0]) < n:
         size = max(n, _USUAL)
         both = [np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, x))) for x in (MIX2, _INVERSE)]
@@ -182,11 +183,24 @@ def _powers_to(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of the bytes of each word, the same in any block."""
-    up, down = _powers_to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[seed][data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A hash of the bytes of each word, the same in any block. Sums and powers are as long as a piece of the data and not as
+    the block: what lies before a word cancels out."""
+    if (np.diff(starts) < 0).any():
+        by = np.argsort(starts, kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        return word_hashes(data, starts[by], ends[by], seed)[back]
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + _PIECE + 1, _PIECE)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            low, high = int(starts[a]), int(ends[a:b].max())
+            up, down = _powers_to(high - low + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTE[seed][data[low:high]] * up[: high - low], out=sums[1:])
+            s, e = starts[a:b] - low, ends[a:b] - low
+            out[a:b] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+    return out
 
 
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
