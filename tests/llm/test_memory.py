@@ -1,10 +1,12 @@
-"""What a worker holds while it hashes the words of a block."""
+"""What a worker holds while it hashes the words of a block, and what it gives out of a bucket."""
 
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from thermaline.llm import common
+from thermaline.llm import common, op10_jaccard_join
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,3 +36,16 @@ def test_a_block_s_hashes_need_little_memory():
     kept, most = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert kept < 24 << 20 and most < 48 << 20
+
+
+@pytest.mark.parametrize("k", [48, 0])
+def test_a_bucket_gives_each_pair_once(k):
+    # 200 sketches of 64 words take two turns.
+    rng, n = np.random.default_rng(3), 200
+    names = [bytes([i]) for i in rng.permutation(n).tolist()]
+    sketches = [rng.integers(0, 1 << 63, 64, np.uint64).tobytes() for _ in names]
+    rows = pa.RecordBatch.from_pydict({"sig": [1] * n, "block": [0] * n, "side": [0] * n, "node": names, "first": list(range(n)), "label": names, "n": [20_000] * n, "sketch": sketches})
+    got = [(r["u"], r["v"]) for b in op10_jaccard_join._name(80, k)([rows]) for r in b.to_pylist() if r["u"] is not None]
+    bucket = op10_jaccard_join.Bucket([20_000] * n, names, sketches, [0] * n, 80)
+    want = {tuple(sorted((names[x], names[y]))) for i, j, _ in bucket.nearest(k) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+    assert len(got) == len(set(got)) and set(got) == want and all(u < v for u, v in got)

@@ -251,10 +251,15 @@ def _name(percent: int, k: int):
     def pairs(rows: pa.Table):
         node, first = rows.column("node").to_pylist(), rows.column("first").to_pylist()
         bucket = Bucket(rows.column("n").to_pylist(), rows.column("label").to_pylist(), rows.column("sketch").to_pylist(), rows.column("side").to_pylist(), percent)
-        unsaid = False
+        unsaid, told = False, set()
         for i, j, more in bucket.nearest(k):
             unsaid |= more
-            both = list(dict.fromkeys((x, y) if node[x] < node[y] else (y, x) for x, y in zip(i.tolist(), j.tolist(), strict=True)))
+            if not k:  # all pairs come from both their nodes
+                i, j = i[i < j], j[i < j]
+            both = [(x, y) for x, y in dict.fromkeys(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True)) if x * len(node) + y not in told]
+            if k:
+                told.update(x * len(node) + y for x, y in both)
+            both = [(x, y) if node[x] < node[y] else (y, x) for x, y in both]
             columns = ([node[x] for x, _ in both], [node[y] for _, y in both], [None] * len(both), [first[x] for x, _ in both], [first[y] for _, y in both])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
         if unsaid:
